@@ -50,7 +50,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimiser's estimate of the size of ``df``; sets numbers of buckets, never results."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def partitions_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:

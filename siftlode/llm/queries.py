@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlode.llm import oracles, pii, quality, urlfilter, warc
+from siftlode.llm import oracles, pii, quality, token_scan, urlfilter, warc, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op2_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.shards_query(_table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.urls_query(_table(spark, sf_dir, "pages"))
 
@@ -27,11 +31,15 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans_query(_table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_scan.scan_query(_table(spark, sf_dir, "documents"))
+
+
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archives_query(_table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_url_filter, op5_pii, op10_warc_revisits)
+    f.__name__: f for f in (op1_quality_rules, op2_wavelet_shards, op3_url_filter, op5_pii, op7_token_counts, op10_warc_revisits)
 }
 ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
