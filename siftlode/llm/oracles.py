@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftlode.llm import pii, quality, urlfilter
+from siftlode.llm import decontam, pii, quality, urlfilter
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
@@ -105,9 +105,42 @@ SELECT page_id, strlen(h)::BIGINT AS payload_bytes, ''{letters} AS payload_diges
   CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to, url FROM s"""
 
 
+def leaks_sql(documents: str = "documents", coverage: float = decontam.COVERAGE, window: int = decontam.WINDOW) -> str:
+    """Rows of op8; template windows are compared as text, not by hash."""
+    units = ", ".join(f"'{u}'" for u in decontam.UNITS)
+    pattern = decontam.TOKEN.replace("\\n", "\\x0A")
+
+    def cut(table: str, key: str) -> str:
+        return rf"""(SELECT {key}, t, list_transform(t, lambda x: CASE WHEN substr(x, 1, 1) BETWEEN '0' AND '9' THEN '<num>'
+      WHEN substr(x, 1, 1) IN ('.', '!', '?', chr(10)) THEN (CASE WHEN lower(regexp_extract(x, '\p{{L}}+$')) IN ({units}) THEN '<unit>' ELSE lower(regexp_extract(x, '\p{{L}}+$')) END)
+      WHEN substr(x, 1, 1) <> lower(substr(x, 1, 1)) AND substr(x, 2, 1) <> '' AND substr(x, 2, 1) = lower(substr(x, 2, 1)) THEN '<name>'
+      WHEN lower(x) IN ({units}) THEN '<unit>' ELSE lower(x) END) AS f
+    FROM (SELECT {key}, regexp_extract_all(chr(10) || coalesce(text, ''), '{pattern}') AS t FROM {table}))"""
+
+    bare = "list_transform(t[p:p + k - 1], lambda x: lower(regexp_extract(x, '[\\p{L}0-9].*$')))"
+    return rf"""
+WITH bi AS (SELECT *, least(len(t), {window}) AS k FROM {cut("benchmark", "item_id")} WHERE item_id IS NOT NULL AND len(t) > 0),
+bw AS (SELECT item_id, k, p, f[p:p + k - 1] AS w, {bare} AS v FROM (SELECT *, unnest(generate_series(1, len(t) - k + 1)) AS p FROM bi)),
+b AS (SELECT *, array_to_string(w, ' ') AS s, count(DISTINCT p) OVER (PARTITION BY item_id) AS n FROM bw
+  WHERE len(list_filter(w, lambda x: NOT starts_with(x, '<'))) >= least({decontam.MIN_LITERAL}, k)),
+ks AS (SELECT DISTINCT k FROM b),
+d AS (SELECT doc_id, k, p, t, array_to_string(f[p:p + k - 1], ' ') AS s FROM (
+  SELECT doc_id, k, t, f, unnest(generate_series(1, len(t) - k + 1)) AS p FROM {cut(documents, "doc_id")}, ks)),
+h AS (SELECT d.doc_id, b.item_id, b.n, d.p - b.p AS shift, b.p AS bp, b.w, b.v, list_transform(d.t[d.p:d.p + d.k - 1], lambda x: lower(regexp_extract(x, '[\p{{L}}0-9].*$'))) AS dv
+  FROM d JOIN b ON d.s = b.s AND d.k = b.k),
+pairs AS (SELECT DISTINCT doc_id, item_id, shift, w[i] AS w, v[i] AS bv, dv[i] AS dv FROM (SELECT *, unnest(generate_series(1, len(w))) AS i FROM h) WHERE starts_with(w[i], '<')),
+bad AS (SELECT DISTINCT doc_id, item_id, shift FROM pairs GROUP BY doc_id, item_id, shift, w, bv HAVING count(DISTINCT dv) > 1),
+chg AS (SELECT doc_id, item_id, shift, bool_or(bv <> dv) AS changed FROM pairs GROUP BY ALL),
+ok AS (SELECT h.doc_id, h.item_id, n, bp, min(coalesce(changed, false)) AS changed FROM h LEFT JOIN chg USING (doc_id, item_id, shift)
+  ANTI JOIN bad USING (doc_id, item_id, shift) GROUP BY h.doc_id, h.item_id, n, bp)
+SELECT doc_id, item_id, count(*) AS matched, n AS windows, round(count(*) / n, 6) AS coverage, max(changed) AS changed
+FROM ok GROUP BY doc_id, item_id, n HAVING count(*) >= {coverage} * n"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_sql(),
     "op3_url_filter": urls_sql(),
     "op5_pii": pii_sql(),
+    "op8_decontamination": leaks_sql(),
     "op10_warc_revisits": warc_sql(),
 }
