@@ -58,13 +58,19 @@ def _windows(forms: Column, length: int) -> Column:
     """(at, hash, length) of every indexed window of ``length`` template tokens."""
 
     def one(at: Column) -> Column:
-        return let(F.slice(forms, at, length), lambda w: F.struct(at.alias("at"), F.xxhash64(w).alias("hash"), F.lit(length).alias("length")))
+        # get() is O(1) where slice() copies the whole array each time
+        return F.struct(at.alias("at"), F.xxhash64(*[F.get(forms, at + (k - 1)) for k in range(length)]).alias("hash"), F.lit(length).alias("length"))
 
     return F.when(F.size(forms) >= length, F.transform(F.sequence(F.lit(1), F.size(forms) - (length - 1)), one)).otherwise(
         F.array().cast("array<struct<at:int,hash:bigint,length:int>>")
     )
 
 
+def _hashed(forms: Column, window: int) -> Column:
+    """The hash of one whole window; positions beyond a shorter one are null and do not count."""
+    return F.xxhash64(*[F.get(forms, F.lit(k)) for k in range(window)]).alias("hash")
+
+
 def _bare(token: Column) -> Column:
     return F.lower(F.regexp_extract(token, r"[\p{L}0-9].*$", 0))
 
@@ -79,7 +85,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, min_literal: i
         "item_id", "length", "b_at", F.slice("forms", F.col("b_at"), F.col("length")).alias("w"), F.slice("raw", F.col("b_at"), F.col("length")).alias("values")
     )
     cut = cut.where(F.size(F.filter("w", lambda t: ~t.startswith("<"))) >= F.least(F.lit(min_literal), F.col("length")))
-    each = cut.select("item_id", "length", "b_at", F.xxhash64("w").alias("hash"), "w", F.transform("values", _bare).alias("values"))
+    each = cut.select("item_id", "length", "b_at", _hashed(F.col("w"), window), "w", F.transform("values", _bare).alias("values"))
     count = each.groupBy("item_id").agg(F.count_distinct("b_at").alias("n"))
     return each.join(count, "item_id")
 
