@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftlode.llm import decontam, pii, quality, urlfilter
+from siftlode.llm import decontam, mixing, pii, quality, urlfilter
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
@@ -137,9 +137,42 @@ SELECT doc_id, item_id, count(*) AS matched, n AS windows, round(count(*) / n, 6
 FROM ok GROUP BY doc_id, item_id, n HAVING count(*) >= {coverage} * n"""
 
 
+def mixing_ctes(documents: str = "documents") -> str:
+    """CTEs that end with ``mixed``: every row of the table with topic, tokens, p and drawn."""
+    cases = " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{n}'" for n, p in mixing.TOPICS)
+    own = "source_, lang_, topic"
+    out = f"""marked AS (SELECT *, coalesce(source, '{mixing.NONE}') AS source_, coalesce(lang, '{mixing.NONE}') AS lang_,
+  CASE {cases} ELSE 'prose' END AS topic, len(regexp_extract_all(coalesce(text, ''), {_WORD}))::BIGINT AS tokens FROM {documents}),
+cells AS (SELECT {own}, sum(tokens)::BIGINT AS t FROM marked GROUP BY ALL),
+k0 AS (SELECT *, t / greatest(sum(t) OVER (), 1) AS w FROM cells)"""
+    cols = {"source": "source_", "lang": "lang_", "topic": "topic"}
+    for name, power in mixing.TARGETS.items():
+        out += f""",
+a_{name} AS (SELECT {cols[name]}, a / sum(a) OVER () AS a FROM (SELECT {cols[name]}, CASE WHEN sum(w) > 0 THEN pow(sum(w), {power}) ELSE 0 END AS a FROM k0 GROUP BY 1))"""
+    last = "k0"
+    for i in range(mixing.ROUNDS):
+        for name in mixing.TARGETS:
+            step, c = f"k{i}_{name}", cols[name]
+            out += f""",
+{step} AS (SELECT {own}, t, CASE WHEN m > 0 THEN w * a / m ELSE 0 END AS w FROM (SELECT *, sum(w) OVER (PARTITION BY {c}) AS m FROM {last}) JOIN a_{name} USING ({c}))"""
+            last = step
+    order = f"ORDER BY r DESC, {own}"
+    return f"""{out},
+live AS (SELECT *, w / t AS r FROM {last} WHERE t > 0 AND w > 0),
+steps AS (SELECT *, row_number() OVER ({order}) AS k,
+  ({mixing.FRACTION} * sum(t) OVER () - coalesce(sum(t) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / (sum(w) OVER () - coalesce(sum(w) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS l FROM live),
+solved AS (SELECT arg_min(l, k) AS l FROM steps WHERE l * r <= 1),
+probs AS (SELECT {own}, round(CASE WHEN solved.l IS NULL THEN 1 ELSE least(1, greatest(0, solved.l * r)) END, 6) AS p FROM steps, solved),
+mixed AS (SELECT marked.*, coalesce(p, 0) AS p,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '{mixing.NONE}') || ':{mixing.SEED}'), 1, 13))::BIGINT / {1 << 52}.0::DOUBLE < coalesce(p, 0) AS drawn
+  FROM marked LEFT JOIN probs USING ({own}))"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_sql(),
     "op3_url_filter": urls_sql(),
+    "op4_mixing": f"WITH {mixing_ctes()} SELECT doc_id, source, lang, topic, tokens, p, drawn FROM mixed",
     "op5_pii": pii_sql(),
     "op8_decontamination": leaks_sql(),
     "op10_warc_revisits": warc_sql(),
