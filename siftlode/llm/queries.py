@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlode.llm import decontam, mixing, oracles, pii, quality, token_scan, urlfilter, warc, wavelet
+from siftlode.llm import decontam, jaccard_join, mixing, oracles, pii, quality, token_scan, urlfilter, warc, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans_query(_table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_query(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_scan.scan_query(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,6 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_wavelet_shards, op3_url_filter, op4_mixing, op5_pii, op7_token_counts, op8_decontamination, op10_warc_revisits)
+    f.__name__: f for f in (op1_quality_rules, op2_wavelet_shards, op3_url_filter, op4_mixing, op5_pii, op6_ngram_jaccard, op7_token_counts, op8_decontamination, op10_warc_revisits)
 }
 ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
