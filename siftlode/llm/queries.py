@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlode.llm import decontam, jaccard_join, mixing, oracles, pii, quality, token_scan, urlfilter, warc, wavelet
+from siftlode.llm import decontam, jaccard_join, katz, mixing, oracles, pii, quality, token_scan, urlfilter, warc, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,11 +47,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(_table(spark, sf_dir, "documents"))
+
+
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archives_query(_table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_wavelet_shards, op3_url_filter, op4_mixing, op5_pii, op6_ngram_jaccard, op7_token_counts, op8_decontamination, op10_warc_revisits)
+    f.__name__: f for f in (op1_quality_rules, op2_wavelet_shards, op3_url_filter, op4_mixing, op5_pii, op6_ngram_jaccard, op7_token_counts, op8_decontamination, op9_katz_scores, op10_warc_revisits)
 }
 ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
