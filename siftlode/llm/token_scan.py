@@ -100,4 +100,4 @@ def scan_query(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Every document's id and token count, as found in the flat files."""
     listed = write_flat(docs, vocabulary)
     ids = listed.select("uri", F.posexplode("ids").alias("ordinal", "doc_id"))
-    return scan(listed.select("uri", "tokens")).join(ids, ["uri", "ordinal"]).select("doc_id", "n_tokens")
+    return scan(listed.select("uri", "tokens")).join(ids.hint("merge"), ["uri", "ordinal"]).select("doc_id", "n_tokens")
