@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.llm.common import WHITESPACE, let, words
+from siftlode.llm.common import WHITESPACE, let, materialise, words
 
 #: Hash buckets of the two multinomials: bounds what is broadcast to this many doubles.
 BUCKETS = 4096
@@ -28,25 +28,32 @@ MAX_TRUSTED = 20_000
 WINDOW = 5
 
 
-def features(w: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of the unigrams, then of the bigrams, of a word array."""
-    hashed = F.transform(w, lambda x: F.conv(F.substring(F.md5(F.lower(x)), 1, 7), 16, 10).cast("long"))
-    return let(
-        hashed,
-        lambda h: F.concat(
-            F.transform(h, lambda x: (x % buckets).cast("int")),
-            F.when(F.size(h) < 2, F.array().cast("array<int>")).otherwise(
-                F.zip_with(
-                    F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h) - 1), lambda a, b: ((a * 31 + b * 17 + 7) % buckets).cast("int")
-                )
-            ),
-        ),
+def hashes(w: Column) -> Column:
+    """28-bit hashes of the words in lower case."""
+    return F.transform(w, lambda x: F.conv(F.substring(F.md5(F.lower(x)), 1, 7), 16, 10).cast("int"))
+
+
+def _bigram(a: Column, b: Column, buckets: int) -> Column:
+    return ((a.cast("long") * 31 + b.cast("long") * 17 + 7) % buckets).cast("int")
+
+
+def features(hashed: Column, buckets: int = BUCKETS) -> Column:
+    """Buckets of the unigrams and bigrams of an array of word hashes; the last bigram is null."""
+    return F.flatten(
+        F.transform(hashed, lambda a, i: F.array((a % buckets).cast("int"), _bigram(a, F.get(hashed, i + 1), buckets)))
     )
 
 
+def ratio_sum(hashed: Column, ratios: Column, buckets: int = BUCKETS) -> Column:
+    """The sum of the ratios of all unigrams and bigrams of an array of word hashes."""
+    own = lambda a, i: F.get(ratios, (a % buckets).cast("int")) + F.coalesce(F.get(ratios, _bigram(a, F.get(hashed, i + 1), buckets)), F.lit(0.0))
+    return F.aggregate(F.transform(hashed, own), F.lit(0.0), lambda total, x: total + x)
+
+
 def repeated_words(w: Column, window: int = WINDOW) -> Column:
     """How many words lie in a window of ``window`` words that occurs twice or more, first occurrences included."""
-    keys = F.transform(F.sequence(F.lit(1), F.size(w) - (window - 1)), lambda i: F.xxhash64(F.slice(w, i, window)))
+    # get() is O(1) where slice() copies the whole array each time
+    keys = F.transform(F.sequence(F.lit(0), F.size(w) - window), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(window)]))
 
     def covered(k: Column) -> Column:
         order = F.sort_array(F.transform(k, lambda key, i: F.struct(key.alias("key"), i.alias("at"))))
@@ -71,7 +78,7 @@ def repeated_words(w: Column, window: int = WINDOW) -> Column:
 
 
 def _counted(text: Column) -> Column:
-    """Struct of all counts and the n-gram buckets of one text."""
+    """Struct of all counts and the word hashes of one text."""
     whole = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda x: F.trim(x, F.lit(WHITESPACE)) != "")
     return let(
@@ -82,7 +89,7 @@ def _counted(text: Column) -> Column:
             F.regexp_count(whole, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             repeated_words(w).alias("n_repeat_words"),
-            features(w).alias("grams"),
+            hashes(w).alias("hashed"),
         ),
     )
 
@@ -93,17 +100,18 @@ def trusted_ids(labels: DataFrame, at_most: int = MAX_TRUSTED) -> DataFrame:
     return good.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(at_most)
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row with ``ratios``: for each bucket ln p_trusted - ln p_corpus, over all of ``docs``."""
+def log_ratios(hashed: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """One row with ``ratios``: for each bucket ln p_trusted - ln p_corpus, over all of ``hashed`` (doc_id, hashed)."""
     mark = F.broadcast(trusted.select(F.col("doc_id").alias("_trusted")))
-    grams = docs.select("doc_id", let(words(F.col("text")), lambda w: features(w, buckets)).alias("_grams")).join(mark, F.col("doc_id") == F.col("_trusted"), "left")
+    grams = hashed.select("doc_id", let(F.col("hashed"), lambda h: features(h, buckets)).alias("_grams"))
+    grams = grams.join(mark, F.col("doc_id") == F.col("_trusted"), "left")
     counts = (
         grams.select(F.explode_outer("_grams").alias("bucket"), F.col("_trusted").isNotNull().cast("long").alias("t"))
         .where(F.col("bucket").isNotNull())  # explode() would compute the n-grams twice, in a filter of its own too
         .groupBy("bucket")
         .agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("n"))
     )
-    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
+    every = hashed.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     filled = every.join(F.broadcast(counts), "bucket", "left").select("bucket", F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("n", F.lit(0)).alias("n"))
     packed = filled.agg(F.sort_array(F.collect_list(F.struct("bucket", "t", "n"))).alias("c"), F.sum("t").alias("nt"), F.sum("n").alias("nn"))
     ratio = F.transform(
@@ -112,17 +120,34 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> D
     return packed.select(F.when(F.col("nt") == 0, F.transform("c", lambda x: F.lit(0.0))).otherwise(ratio).alias("ratios"))
 
 
-def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
-    """``docs`` with the counts, ``base_failed``, ``llr`` (nats per n-gram, 6 places) and ``kept`` of every row."""
-    results = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept", "_c", "ratios")
-    plain = docs.drop(*results)
-    ratios = log_ratios(docs.select("doc_id", "text"), trusted, buckets)
-    scored = plain.withColumn("_c", _counted(F.col("text"))).crossJoin(F.broadcast(ratios))  # one row of fixed length
+_RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept", "_c", "ratios")
+
+
+def _verdicts(counted: DataFrame, ratios: DataFrame, columns: list[str], threshold: float, buckets: int) -> DataFrame:
+    """``columns`` of ``counted`` (with _c) and the results."""
+    scored = counted.crossJoin(F.broadcast(ratios))  # one row of fixed length
     total = let(
-        F.struct(F.col("_c.grams").alias("g"), F.col("ratios").alias("r")),
-        lambda x: F.aggregate(x["g"], F.lit(0.0), lambda a, g: a + F.get(x["r"], g)) / F.when(F.size(x["g"]) > 0, F.size(x["g"])),
+        F.struct(F.col("_c.hashed").alias("h"), F.col("ratios").alias("r")),
+        lambda x: ratio_sum(x["h"], x["r"], buckets) / F.when(F.size(x["h"]) > 0, 2 * F.size(x["h"]) - 1),
     )
-    counts = [F.col(f"_c.{c}").alias(c) for c in results[:5]]
-    kept = scored.select(*plain.columns, *counts, F.round(total, 6).alias("llr"))
+    counts = [F.col(f"_c.{c}").alias(c) for c in _RESULTS[:5]]
+    kept = scored.select(*columns, *counts, F.round(total, 6).alias("llr"))
     kept = kept.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     return kept.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False)))
+
+
+def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+    """``docs`` with the counts, ``base_failed``, ``llr`` (nats per n-gram, 6 places) and ``kept`` of every row.
+
+    Reads the texts twice, for the corpus and for the scores, and writes nothing.
+    """
+    plain = docs.drop(*_RESULTS)
+    hashed = docs.select("doc_id", let(words(F.lower("text")), hashes).alias("hashed"))
+    return _verdicts(plain.withColumn("_c", _counted(F.col("text"))), log_ratios(hashed, trusted, buckets), plain.columns, threshold, buckets)
+
+
+def verdicts(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+    """:func:`judge` without the texts: reads them once and keeps the word hashes (4 bytes a word) in the shared folder."""
+    counted = materialise(docs.select("doc_id", _counted(F.col("text")).alias("_c")), "word-hashes")
+    ratios = log_ratios(counted.select("doc_id", F.col("_c.hashed").alias("hashed")), trusted, buckets)
+    return _verdicts(counted, ratios, ["doc_id"], threshold, buckets)
