@@ -54,8 +54,13 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def partitions_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
-    """Buckets so that each holds about ``bytes_each`` of the input; at least the session's shuffle partitions."""
-    size = min(input_bytes(df), 1 << 50)
+    """Buckets so that each holds about ``bytes_each`` of the input; at least the session's shuffle partitions.
+
+    Where the optimiser does not know the size (rows from Python, RDDs) the texts are measured.
+    """
+    size = input_bytes(df)
+    if size >= 1 << 57:
+        size = df.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bytes_each))
 
 
