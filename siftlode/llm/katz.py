@@ -11,7 +11,8 @@ words they lead to.  Tokens travel as packed arrays, sorted and combined per blo
 the partition of their history, which counts them and adds up what each document's tokens contribute.  Histories that a
 bounded sample shows to be very frequent are dealt out by the following word too; their few totals are combined after.
 Counts of the words that follow (needed for the weights) are asked from their own partition, once per partition.
-Per-document sums are then added up.  Words are told apart by 64-bit hashes.
+What is known about a
+block's documents travels packed too and is added up per block.  Words are told apart by 64-bit hashes.
 
 Defined results: null or empty text is one end; null ids are hashed as the text ``null`` and reported as null; repeated
 rows are scored each; an empty table gives an empty result; without training documents every token has the unseen
@@ -20,7 +21,6 @@ word's probability 1 (score 0) and the base score uses counts of 0; other column
 
 from __future__ import annotations
 
-import io
 import zlib
 from collections.abc import Iterator
 
@@ -29,13 +29,13 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlode.llm.common import partitions_for, scratch, words
 from siftlode.llm.encoding import plain
+from siftlode.llm.packing import pack, release, small, unpack
 
 #: Counts up to this one are discounted.
 K = 5
@@ -43,28 +43,12 @@ K = 5
 SAMPLE_DOCS = 2_000
 #: Documents packed together before their bigrams leave a task.
 BLOCK_DOCS = 8_000
-BLOCK_TOKENS = 5_000_000
+BLOCK_TOKENS = 1_500_000
+#: Input bytes to a partition of the model: bounds what a task gathers.
+PARTITION_BYTES = 10 << 20
 FOLDS, HELD_OUT = 7, 2
 _U = np.uint64
 _BEGIN, _END = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
-_PARTIAL = "uid long, a double, base double, known long, seen long, m array<long>"
-
-
-def _pack(**arrays: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    return zstandard.ZstdCompressor(level=3).compress(out.getvalue())
-
-
-def _unpack(data: bytes) -> dict[str, np.ndarray]:
-    with np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(data))) as f:
-        return {k: f[k] for k in f.files}
-
-
-def _small(x: np.ndarray) -> np.ndarray:
-    """The narrowest unsigned type that holds ``x``."""
-    top = int(x.max()) if len(x) else 0
-    return x.astype("u1" if top < 1 << 8 else "u2" if top < 1 << 16 else "u4" if top < 1 << 32 else "u8")
 
 
 def _spread(x: np.ndarray, n: int, salt: int = 1) -> np.ndarray:
@@ -93,7 +77,8 @@ def discounts(n: list[int], k: int = K) -> np.ndarray:
 
 def _hot_words(docs: DataFrame, buckets: int) -> np.ndarray:
     """Hashes of words that make up over an eighth of a partition's share in a sample; at most 8 * buckets of them."""
-    sample = docs.select("text").limit(SAMPLE_DOCS)
+    share = SAMPLE_DOCS / max(docs.count(), SAMPLE_DOCS)
+    sample = docs.select("text").sample(share, seed=1) if share < 1 else docs.select("text")
     counts = sample.select(F.explode(words(F.lower("text"))).alias("w")).groupBy("w").count()
     top = counts.orderBy(F.desc("count"), "w").limit(8 * buckets).collect()
     total = sum(r["count"] for r in top)
@@ -115,10 +100,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]
 
 
 def _scatter(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
-    """Rows (bucket, data): a block's bigrams of one partition; bucket -1 - p holds documents."""
+    """Rows (bucket, data): a block's bigrams of one partition; bucket -1 - k holds the documents of block k."""
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
+        schema = pa.schema([("bucket", pa.int64()), ("data", pa.binary())])
         part = TaskContext.get().partitionId()
         serial = 0
         for ids, texts in _blocks(batches):
@@ -152,7 +137,7 @@ def _scatter(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
             uid = (part << 40) + (serial << 20)
             serial += 1
             train = np.array([not held_out(i) for i in ids], bool)
-            out = [(-1 - (uid >> 20) % buckets, _pack(uid=np.array([uid]), ids=np.array([0 if i is None else i for i in ids], "i8"), null=np.array([i is None for i in ids]), train=train, n=counts + 1))]
+            out = [(-1 - (uid >> 20), pack(ids=np.array([0 if i is None else i for i in ids], "i8"), null=np.array([i is None for i in ids]), train=train, n=counts + 1))]
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             bits = max(1, int(len(table) - 1).bit_length())
@@ -169,13 +154,26 @@ def _scatter(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                 hs, h = np.unique(h, return_inverse=True)
                 ws, w = np.unique(w, return_inverse=True)
                 step = np.diff(h, prepend=0)
-                out.append((b, _pack(uid=np.array([uid]), hs=table[hs], ws=table[ws], step=_small(step), w=_small(w), d=_small(d), n=_small(n), train=np.packbits(train))))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], schema=schema)
+                out.append((b, pack(uid=np.array([uid]), hs=table[hs], ws=table[ws], step=small(step), w=small(w), d=small(d), n=small(n), train=np.packbits(train))))
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], schema=schema)
+            del split, coded, names, known, at, owner, following, history, inner, doc, bucket, order, out
+            release()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scatter, "bucket int, data binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scatter, "bucket long, data binary")
 
 
-_ROW = "kind string, bucket int, src int, data binary"
+def _by_block(blocks: np.ndarray, doc: np.ndarray, src: int, **values: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """(block, src, data) of what is known about ascending documents, numbered through ``blocks``."""
+    cuts = np.searchsorted(doc, np.arange(len(blocks) + 1) * BLOCK_DOCS)
+    out = []
+    for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if i < j:
+            part = {name: x[..., i:j] for name, x in values.items()}
+            out.append((int(blocks[k]), src, pack(d=small(doc[i:j] - k * BLOCK_DOCS), **{n: small(x) if x.dtype.kind in "iu" and n != "h" else x for n, x in part.items()})))
+    return out
+
+
+_ROW = "kind string, bucket long, src long, data binary"
 
 
 def _count(scattered: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
@@ -184,43 +182,51 @@ def _count(scattered: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         b = key[0]
         if b < 0:
-            return pd.DataFrame([("docs", b, -1, x) for x in rows["data"]], columns=["kind", "bucket", "src", "data"])
-        parts = [_unpack(x) for x in rows["data"]]
+            return pd.DataFrame([("docs", -1 - b, -1, x) for x in rows["data"]], columns=["kind", "bucket", "src", "data"])
+        parts = [unpack(x) for x in rows["data"]]
         sizes = np.array([len(p["w"]) for p in parts])
         words_, at = np.unique(np.concatenate([x for p in parts for x in (p["hs"], p["ws"])]), return_inverse=True)
         cuts = np.cumsum([0, *[len(x) for p in parts for x in (p["hs"], p["ws"])]])
         h = np.concatenate([at[cuts[2 * i] : cuts[2 * i + 1]][np.cumsum(p["step"], dtype="i8")] for i, p in enumerate(parts)]).astype("u4")
         w = np.concatenate([at[cuts[2 * i + 1] : cuts[2 * i + 2]][p["w"]] for i, p in enumerate(parts)]).astype("u4")
-        n = np.concatenate([p["n"] for p in parts]).astype("i8")
-        uid = np.repeat([int(p["uid"][0]) for p in parts], sizes) + np.concatenate([p["d"] for p in parts]).astype("i8")
+        n = np.concatenate([p["n"].astype("u4") for p in parts])
+        blocks, first = np.unique([int(p["uid"][0]) >> 20 for p in parts], return_inverse=True)
+        doc = np.concatenate([p["d"].astype("u4") + np.uint32(k * BLOCK_DOCS) for k, p in zip(first, parts, strict=True)])
         train = np.concatenate([np.unpackbits(p["train"])[p["d"]] for p in parts]).astype(bool)
-        del parts, at
-        order = np.argsort((h.astype("u8") << _U(32)) | w, kind="stable")
-        h, w, n, uid, train = h[order], w[order], n[order], uid[order], train[order]
+        parts.clear()
+        del at
+        order = np.argsort((h.astype("u8") << _U(32)) | w, kind="stable").astype("u4")
+        h, w, n, doc, train = h[order], w[order], n[order], doc[order], train[order]
+        del order
         first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])]))
-        pair = np.repeat(np.arange(len(first)), np.diff(first, append=len(h)))
-        r = np.bincount(pair, weights=np.where(train, n, 0), minlength=len(first)).astype("i8")
+        lengths = np.diff(first, append=len(h))
+        r = np.add.reduceat(np.where(train, n, 0), first).astype("i8")
+        del train
         ph, pw = h[first], w[first]
         total = np.bincount(ph, weights=r, minlength=len(words_)).astype("i8")
         is_history = np.bincount(ph, minlength=len(words_)) > 0
         is_hot = np.isin(words_, hot)
         seen = r > 0
-        rt = r[pair]  # training count of each row's bigram
+        rt = np.repeat(r, lengths).astype("u4")  # training count of each row's bigram
         # rows of histories that are counted here alone: what they add to their documents
         low = np.bincount(ph[seen & (r <= K)], minlength=len(words_)) > 0
         count_of = total + np.where((total > 0) & ~low, 1, 0)  # no discounted bigram: one more leaves mass for the rest
         own = ~is_hot[h]
-        begin = words_[h] == _BEGIN
-        a = np.where(rt > 0, np.log10(np.maximum(rt, 1)) - np.where(own, np.log10(np.maximum(count_of[h], 1)), 0), 0.0) * n
-        base = np.where(own & ~begin, np.log10(total[h] + 1.0), 0.0) * n
-        known = np.where(own & ~begin & (total[h] > 0), n, 0)
-        uids, doc = np.unique(uid, return_inverse=True)
-        add = lambda x: np.bincount(doc, weights=x, minlength=len(uids))
+        own &= words_[h] != _BEGIN
+        docs = len(blocks) * BLOCK_DOCS
+        live = np.flatnonzero(np.bincount(doc, minlength=docs))
+        add = lambda x: np.bincount(doc, weights=x, minlength=docs)[live]
+        log_r, log_c = np.log10(np.maximum(r, 1)), np.log10(np.maximum(count_of, 1))
+        log_c[is_hot] = 0
+        a = add((np.repeat(log_r, lengths) - np.where(rt > 0, log_c[h], 0)) * n)
+        base = add(np.where(own, np.log10(total + 1.0)[h], 0.0) * n)
+        known = add(np.where(own & (total[h] > 0), n, 0))
         m = np.stack([add(np.where(rt == k, n, 0)) for k in range(1, K + 1)]).astype("u4")
-        out = [("partial", b, -1, _pack(uid=uids, a=add(a), base=add(base), known=_small(add(known).astype("i8")), m=m))]
+        out = [("partial", *x) for x in _by_block(blocks, live, b, a=a, base=base, known=known.astype("i8"), m=m)]
+        del a, base, known, m, own
         mine = np.flatnonzero(is_history & ~is_hot)
         uni = mine[words_[mine] != _BEGIN]
-        out.append(("uni", b, -1, _pack(w=words_[uni], c=_small(total[uni]))))
+        out.append(("uni", b, -1, pack(w=words_[uni], c=small(total[uni]))))
         # which words' counts are needed: those seen after a history here, and those of unseen bigrams
         need = np.zeros(len(words_), bool)
         need[pw] = True
@@ -234,7 +240,7 @@ def _count(scattered: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
         cut = np.searchsorted(target, np.arange(buckets + 1))
         for t in range(buckets):
             if cut[t] < cut[t + 1]:
-                out.append(("ask", t, b, _pack(w=words_[asked[cut[t] : cut[t + 1]]])))
+                out.append(("ask", t, b, pack(w=words_[asked[cut[t] : cut[t + 1]]])))
         special = np.flatnonzero((need & is_hot) | (words_ == _END))
         place[special] = -2 - np.arange(len(special))
         new = np.flatnonzero(rt == 0)
@@ -246,27 +252,28 @@ def _count(scattered: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                 "model",
                 b,
                 -1,
-                _pack(
-                    h=words_[hist], c=_small(total[hist]), low=low[hist], hot=is_hot[hist], special=words_[special], cut=cut,
-                    ph=_small(np.diff(number[ph[seen]], prepend=0)), pw=place[pw[seen]].astype("i4"), r=_small(r[seen]),
-                    nh=_small(number[h[new]]), nw=place[w[new]].astype("i4"), nu=uid[new], nn=_small(n[new]),
+                pack(
+                    h=words_[hist], c=small(total[hist]), low=low[hist], hot=is_hot[hist], special=words_[special], cut=cut,
+                    ph=small(np.diff(number[ph[seen]], prepend=0)), pw=place[pw[seen]].astype("i4"), r=small(r[seen]),
+                    nh=small(number[h[new]]), nw=place[w[new]].astype("i4"), nd=small(doc[new]), nn=small(n[new]), blocks=blocks,
                 ),
             )
         )
         hh = np.flatnonzero(is_hot[h])
         if len(hh):  # (document, hot history): how many of its tokens were seen and not
-            code, inv = np.unique(np.stack([uid[hh], h[hh].astype("i8")]), axis=1, return_inverse=True)
-            inv = inv.ravel()
-            tally = lambda x: _small(np.bincount(inv, weights=x, minlength=code.shape[1]).astype("i8"))
-            out.append(("hotdoc", b, -1, _pack(uid=code[0], h=words_[code[1]], seen=tally(np.where(rt[hh] > 0, n[hh], 0)), new=tally(np.where(rt[hh] == 0, n[hh], 0)))))
+            code, inv = np.unique((doc[hh].astype("u8") << _U(32)) | h[hh], return_inverse=True)
+            tally = lambda x: small(np.bincount(inv, weights=x, minlength=len(code)).astype("i8"))
+            seen_n, new_n = tally(np.where(rt[hh] > 0, n[hh], 0)), tally(np.where(rt[hh] == 0, n[hh], 0))
+            out += [("hotdoc", *x) for x in _by_block(blocks, (code >> _U(32)).astype("i8"), b, h=words_[code & _U(0xFFFFFFFF)], seen=seen_n, new=new_n)]
         hw = np.flatnonzero(is_history & is_hot)
-        cap = np.minimum(r[seen], K + 1)
-        stats = {"pairs": np.bincount(cap, minlength=K + 2), "unis": np.bincount(np.minimum(total[uni], K + 1), minlength=K + 2), "tokens": np.array([total[uni].sum()])}
+        stats = {"tokens": np.array([total[uni].sum()])}
         # counts of counts up to K + 1, exactly
         stats["pairs"] = np.array([int((r == k).sum()) for k in range(K + 2)])
         stats["unis"] = np.array([int((total[uni] == k).sum()) for k in range(K + 2)])
         stats["types"] = np.array([int((total[uni] > 0).sum())])
-        out.append(("stats", b, -1, _pack(**stats, hot=words_[hw], hot_c=total[hw], hot_low=low[hw])))
+        out.append(("stats", b, -1, pack(**stats, hot=words_[hw], hot_c=total[hw], hot_low=low[hw])))
+        del h, w, n, doc, rt
+        release()
         return pd.DataFrame(out, columns=["kind", "bucket", "src", "data"])
 
     return scattered.groupBy("bucket").applyInPandas(count, _ROW)
@@ -314,16 +321,16 @@ def _answer(asked: DataFrame) -> DataFrame:
     """For each question (bucket, src) the training counts of its words, addressed to who asked."""
 
     def answer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        own = [_unpack(x) for x in rows["data"][rows["kind"] == "uni"]]
+        own = [unpack(x) for x in rows["data"][rows["kind"] == "uni"]]
         w = np.concatenate([np.zeros(0, "u8"), *[x["w"] for x in own]])
         c = np.concatenate([np.zeros(0, "i8"), *[x["c"].astype("i8") for x in own]])
         out = []
         for src, data in zip(rows["src"], rows["data"], strict=True):
             if src >= 0:
-                q = _unpack(data)["w"]
+                q = unpack(data)["w"]
                 at = np.minimum(np.searchsorted(w, q), max(len(w) - 1, 0))
                 found = np.where(w[at] == q, c[at], 0) if len(w) else np.zeros(len(q), "i8")
-                out.append(("told", src, key[0], _pack(c=_small(found))))
+                out.append(("told", src, key[0], pack(c=small(found))))
         return pd.DataFrame(out, columns=["kind", "bucket", "src", "data"])
 
     return asked.groupBy("bucket").applyInPandas(answer, _ROW)
@@ -332,13 +339,13 @@ def _answer(asked: DataFrame) -> DataFrame:
 def _weigh(rows: DataFrame, totals: Totals) -> DataFrame:
     """Back-off weights of a partition's histories and what unseen bigrams add to documents.
 
-    Rows (kind, bucket, src, data): ``more`` (uid, a) and ``weights`` (parts of hot histories' sums).
+    Rows (kind, bucket, src, data): ``more`` (by block: document, a) and ``weights`` (parts of hot histories' sums).
     """
 
     def weigh(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        m = _unpack(own["data"][own["kind"] == "model"].iloc[0])
+        m = unpack(own["data"][own["kind"] == "model"].iloc[0])
         told = own[own["kind"] == "told"].sort_values("src")
-        counts = np.concatenate([np.zeros(0, "i8"), *[_unpack(x)["c"].astype("i8") for x in told["data"]]])
+        counts = np.concatenate([np.zeros(0, "i8"), *[unpack(x)["c"].astype("i8") for x in told["data"]]])
         special = np.array([totals.of(w) for w in m["special"].tolist()], "i8")
         p = totals.unigram(np.concatenate([counts, special[::-1]]))  # place -2 - i is special[i] from the back
         at = lambda x: p[np.where(x >= 0, x, len(p) + 1 + x)]
@@ -349,10 +356,10 @@ def _weigh(rows: DataFrame, totals: Totals) -> DataFrame:
         alpha = back_off(c, m["low"], mass, cover)
         nh, hot = m["nh"].astype("i8"), m["hot"]
         extra = (np.where(hot[nh], 0.0, np.log10(alpha[nh])) + np.log10(at(m["nw"]))) * m["nn"]
-        uid, inv = np.unique(m["nu"], return_inverse=True)
-        out = [("more", key[0], -1, _pack(uid=uid, a=np.bincount(inv, weights=extra, minlength=len(uid))))]
+        doc, inv = np.unique(m["nd"].astype("i8"), return_inverse=True)
+        out = [("more", *x) for x in _by_block(m["blocks"], doc, key[0], a=np.bincount(inv, weights=extra, minlength=len(doc)))]
         if hot.any():
-            out.append(("weights", key[0], -1, _pack(h=m["h"][hot], mass=mass[hot], cover=cover[hot])))
+            out.append(("weights", key[0], -1, pack(h=m["h"][hot], mass=mass[hot], cover=cover[hot])))
         return pd.DataFrame(out, columns=["kind", "bucket", "src", "data"])
 
     return rows.groupBy("bucket").applyInPandas(weigh, _ROW)
@@ -365,91 +372,78 @@ def back_off(c: np.ndarray, low: np.ndarray, mass: np.ndarray, cover: np.ndarray
     return np.where(c > 0, left / np.maximum(1 - cover, 1e-300), 1.0)
 
 
-def _rows_of(packed: DataFrame, schema: str, fields: dict[str, str]) -> DataFrame:
-    """Packed arrays as rows."""
-    arrow = pa.schema([(k, {"long": pa.int64(), "double": pa.float64(), "longs": pa.list_(pa.int64())}[t]) for k, t in fields.items()])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch["data"].to_pylist():
-                x = _unpack(data)
-                cols = []
-                for k, t in fields.items():
-                    if t == "longs":
-                        flat = x[k].T.astype("i8").ravel()
-                        stops = np.arange(0, len(flat) + 1, x[k].shape[0]).astype("i4")
-                        cols.append(pa.ListArray.from_arrays(pa.array(stops), pa.array(flat)))
-                    else:
-                        cols.append(pa.array(x[k].astype("f8" if t == "double" else "u8").view("i8") if t == "long" else x[k].astype("f8")))
-                yield pa.RecordBatch.from_arrays(cols, schema=arrow)
-
-    return packed.select("data").mapInArrow(run, schema)
+def _finish(rows: DataFrame, totals: Totals, hot: dict[str, np.ndarray]) -> DataFrame:
+    """The scores of every block's documents from all that is known about them, one block at a time."""
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    logs = np.log10(totals.d2[1:])
+    share, end = float(np.log10(totals.tokens + totals.types + 1)), float(np.log10(totals.end + 1))
+
+    def finish(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        docs = unpack(own["data"][own["kind"] == "docs"].iloc[0])
+        n = docs["n"].astype("i8")
+        a, base, known = np.zeros(len(n)), np.zeros(len(n)), np.full(len(n), int(totals.end > 0))
+        own = own.sort_values(["kind", "src"])  # sums in one order, whatever order rows arrive in
+        for kind, data in zip(own["kind"], own["data"], strict=True):
+            if kind == "docs":
+                continue
+            x = unpack(data)
+            d = x["d"].astype("i8")
+            if kind == "partial":
+                a[d] += x["a"] + logs @ x["m"]
+                base[d] += x["base"]
+                known[d] += x["known"]
+            elif kind == "more":
+                a[d] += x["a"]
+            else:
+                at = np.searchsorted(hot["h"], x["h"])
+                seen, new = x["seen"].astype("f8"), x["new"].astype("f8")
+                add = lambda v: np.bincount(d, weights=v, minlength=len(n))  # noqa: B023, E731
+                a += add(new * hot["alpha"][at] - seen * hot["size"][at])
+                base += add((seen + new) * hot["plain"][at])
+                known += add((seen + new) * hot["known"][at]).astype("i8")
+        ids = pd.array(docs["ids"], "Int64")
+        ids[docs["null"]] = pd.NA
+        return pd.DataFrame(
+            {"doc_id": ids, "held_out": ~docs["train"], "n_tokens": n, "n_known": known, "train_tokens": totals.tokens, "base_score": base + end - n * share, "score": a}
+        )
+
+    return rows.groupBy("bucket").applyInPandas(finish, schema)
 
 
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     own = docs.select("doc_id", "text")
-    buckets = partitions_for(own)
+    buckets = partitions_for(own, PARTITION_BYTES)
     hot = _hot_words(own, buckets)
     path = scratch(spark, "katz-model")
     _count(_scatter(own, buckets, hot), buckets, hot).write.partitionBy("kind").parquet(path)
-    empty = spark.createDataFrame([], "bucket int, src int, data binary, kind string")
-    model = (spark.read.schema("bucket int, src int, data binary, kind string").parquet(path) if spark.read.parquet(path).columns else empty).select("kind", "bucket", "src", "data")
+    schema = "bucket long, src long, data binary, kind string"
+    model = spark.read.schema(schema).parquet(path).select("kind", "bucket", "src", "data")
     kind = lambda *k: model.where(F.col("kind").isin(*k))
 
-    fields = "uid long, doc_id long, held_out boolean, n_tokens long"
-    arrow = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64())])
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch["data"].to_pylist():
-                x = _unpack(data)
-                ids = pa.array(x["ids"], mask=x["null"])
-                yield pa.RecordBatch.from_arrays([pa.array(x["uid"][0] + np.arange(len(ids))), ids, pa.array(~x["train"]), pa.array(x["n"].astype("i8"))], schema=arrow)
-
-    documents = kind("docs").select("data").mapInArrow(listed, fields)
-    train_docs = documents.where(~F.col("held_out")).count()
-    totals = Totals([_unpack(r["data"]) for r in kind("stats").select("data").collect()], train_docs)  # a few thousand numbers a partition at most
+    trained = F.udf(lambda data: int(unpack(data)["train"].sum()), "long")
+    train_docs = kind("docs").agg(F.sum(trained("data"))).first()[0] or 0
+    totals = Totals([unpack(r["data"]) for r in kind("stats").select("data").collect()], train_docs)  # a few thousand numbers a partition at most
 
     weighed = scratch(spark, "katz-weights")
     _weigh(_answer(kind("uni", "ask")).union(kind("model")), totals).write.partitionBy("kind").parquet(weighed)
-    back = spark.read.schema("bucket int, src int, data binary, kind string").parquet(weighed)
+    back = spark.read.schema(schema).parquet(weighed)
     hot_mass: dict[int, list[float]] = {}
     for row in back.where("kind = 'weights'").select("data").collect():  # hot histories only: at most 8 a partition
-        x = _unpack(row["data"])
+        x = unpack(row["data"])
         for h, mass, cover in zip(x["h"].tolist(), x["mass"].tolist(), x["cover"].tolist(), strict=True):
             s = hot_mass.setdefault(h, [0.0, 0.0])
             s[0], s[1] = s[0] + mass, s[1] + cover
-    table = []
-    for h, (mass, cover) in hot_mass.items():
+    table: dict[str, list] = {"h": [], "size": [], "alpha": [], "plain": [], "known": []}
+    for h, (mass, cover) in sorted(hot_mass.items()):
         c = np.array([totals.hot.get(h, 0)], "f8")
         low = np.array([h in totals.low])
-        alpha = float(back_off(c, low, np.array([mass]), np.array([cover]))[0])
-        size = float(c[0]) + (1 if c[0] > 0 and not low[0] else 0)
         word = h != int(_BEGIN)
-        signed = h - (1 << 64) if h >= 1 << 63 else h
-        table.append((signed, float(np.log10(max(size, 1))), float(np.log10(alpha)), float(np.log10(c[0] + 1)) if word else 0.0, int(word and c[0] > 0)))
-    hot_table = F.broadcast(spark.createDataFrame(table, "h long, size double, alpha double, plain double, known long"))  # bounded as above
-    in_hot = _rows_of(kind("hotdoc"), "uid long, h long, seen long, new long", {"uid": "long", "h": "long", "seen": "long", "new": "long"}).join(hot_table, "h")
-
-    zero = F.lit(0).cast("long")
-    none = F.array(*[zero] * K)
-    parts = _rows_of(kind("partial"), "uid long, a double, base double, known long, m array<long>", {"uid": "long", "a": "double", "base": "double", "known": "long", "m": "longs"})
-    more = _rows_of(back.where("kind = 'more'"), "uid long, a double", {"uid": "long", "a": "double"}).select("uid", "a", F.lit(0.0).alias("base"), zero.alias("known"), none.alias("m"))
-    n = F.col("seen") + F.col("new")
-    hots = in_hot.select("uid", (F.col("new") * F.col("alpha") - F.col("seen") * F.col("size")).alias("a"), (n * F.col("plain")).alias("base"), (n * F.col("known")).alias("known"), none.alias("m"))
-    logs = [float(np.log10(x)) for x in totals.d2[1:]]
-    each = parts.union(more).union(hots)
-    a = F.col("a") + sum((F.get("m", F.lit(k)) * logs[k] for k in range(K)), F.lit(0.0))
-    sums = each.select("uid", a.alias("a"), "base", "known").groupBy("uid").agg(F.sum("a").alias("a"), F.sum("base").alias("base"), F.sum("known").alias("known"))
-    share = float(np.log10(totals.tokens + totals.types + 1))
-    return documents.join(sums, "uid", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.coalesce("known", zero) + int(totals.end > 0)).alias("n_known"),
-        F.lit(totals.tokens).cast("long").alias("train_tokens"),
-        (F.coalesce("base", F.lit(0.0)) + float(np.log10(totals.end + 1)) - F.col("n_tokens") * share).alias("base_score"),
-        F.coalesce("a", F.lit(0.0)).alias("score"),
-    )
+        table["h"].append(h)
+        table["size"].append(np.log10(max(float(c[0]) + (1 if c[0] > 0 and not low[0] else 0), 1)))
+        table["alpha"].append(np.log10(float(back_off(c, low, np.array([mass]), np.array([cover]))[0])))
+        table["plain"].append(np.log10(c[0] + 1) if word else 0.0)
+        table["known"].append(int(word and c[0] > 0))
+    known_hot = {k: np.array(v, "u8" if k == "h" else "f8") for k, v in table.items()}
+    return _finish(kind("docs", "partial", "hotdoc").union(back.where("kind = 'more'").select("kind", "bucket", "src", "data")), totals, known_hot)
