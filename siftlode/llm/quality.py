@@ -133,7 +133,9 @@ def _verdicts(counted: DataFrame, ratios: DataFrame, columns: list[str], thresho
     counts = [F.col(f"_c.{c}").alias(c) for c in _RESULTS[:5]]
     kept = scored.select(*columns, *counts, F.round(total, 6).alias("llr"))
     kept = kept.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    return kept.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False)))
+    # one comparison: a conjunct on the counts alone would be pushed below and count every text once more
+    judged = F.when(F.col("base_failed"), F.lit(float("-inf"))).otherwise(F.col("llr"))
+    return kept.withColumn("kept", F.coalesce(judged >= threshold, F.lit(False)))
 
 
 def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
