@@ -31,17 +31,21 @@ from functools import lru_cache
 from math import ceil, exp
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.llm.common import materialise
+from siftlode.llm.common import materialise, partitions_for
 from siftlode.llm.components import connected_components
-from siftlode.llm.encoding import plain
+from siftlode.llm.encoding import forget, plain
+from siftlode.llm.packing import ascending, back, pack, release, small, unpack
 
-GROUPS = 64
+#: Least and most hash groups of a count vector; in between a set of n shingles has about n / 4 groups, a power of two,
+#: since fewer cannot part long unrelated texts.  A longer vector folds into a shorter one.
+GROUPS, MOST_GROUPS = 64, 8192
 #: Points of an R-tree leaf, and children of an inner node.
 FANOUT = 32
 #: Width of a size class.
@@ -50,6 +54,9 @@ LEVELS = 4
 #: Members of a list, and shingles of a block of a component, that one task takes.
 LIST_MEMBERS = 4096
 BLOCK_SHINGLES = 1_000_000
+#: Cells that a task packs at once, and input bytes to a partition of cells.
+BLOCK_CELLS = 1_000_000
+PARTITION_BYTES = 10 << 20
 _U = np.uint64
 
 
@@ -65,7 +72,7 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     split = pc.split_pattern(plain(texts), " ")
     coded = split.flatten().dictionary_encode()
-    names = coded.dictionary.to_pylist()
+    names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in names), "u8", len(names))
     real = np.fromiter((w != "" for w in names), bool, len(names))
     at = coded.indices.to_numpy()
@@ -153,6 +160,18 @@ class Scheme:
         return np.concatenate(out) if out else np.zeros(0, "u8")
 
 
+def count_vector(s: np.ndarray) -> np.ndarray:
+    """How many shingles fall into each group; the groups are ranges of the hash."""
+    bits = min(max(GROUPS, len(s) // 4), MOST_GROUPS).bit_length() - 1
+    return np.bincount((s >> _U(64 - bits)).astype("i8"), minlength=1 << bits)
+
+
+def folded(vectors: list[np.ndarray]) -> np.ndarray:
+    """Count vectors of one length: the shortest one's."""
+    n = min(map(len, vectors))
+    return np.stack([v.reshape(n, -1).sum(axis=1) for v in vectors]).astype("i4")
+
+
 class CountTree:
     """R-tree over count vectors, packed by size, then along the widest coordinates."""
 
@@ -224,7 +243,7 @@ def verified_forest(sets: list[np.ndarray], scheme: Scheme) -> list[tuple[int, i
     if len(sets) == 2:
         common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return [(0, 1)] if scheme.linked(common, len(sets[0]), len(sets[1])) else []
-    vectors = np.stack([np.bincount((s >> _U(58)).astype("i8"), minlength=GROUPS) for s in sets])
+    vectors = folded([count_vector(s) for s in sets])
     tree = CountTree(vectors, sizes)
     every, where = np.unique(np.concatenate(sets), return_inverse=True)
     stops = np.cumsum(sizes)
@@ -251,30 +270,99 @@ def verified_forest(sets: list[np.ndarray], scheme: Scheme) -> list[tuple[int, i
     return forest.edges
 
 
-def _profiles(docs: DataFrame, size: int, scheme: Scheme) -> DataFrame:
-    """(doc_id, row, sid, n, cells, counts) of every row; sid tells different sets apart and is null for the empty set."""
-    schema = "doc_id long, row long, sid long, n long, cells array<long>, counts binary"
-    arrow = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("cells", pa.list_(pa.int64())), ("counts", pa.binary())])
+def _sid(s: np.ndarray) -> int | None:
+    """64 bits that tell different sets apart; null for the empty set."""
+    return int(_mix(np.array([_mix(s, 11).sum(), _mix(s, 12).sum() + _U(len(s))], "u8"), 1).view("i8").sum()) if len(s) else None
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row"), "text")
+
+
+def _profiles(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, row, sid, n, counts) of every row."""
+    arrow = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("counts", pa.binary())])
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sids, ns, cells, counts = [], [], [], []
+                sids, ns, counts = [], [], []
                 for s in shingle_sets(part["text"], size):
                     ns.append(len(s))
-                    sids.append(int(_mix(np.array([_mix(s, 11).sum(), _mix(s, 12).sum() + _U(len(s))], "u8"), 1).view("i8").sum()) if len(s) else None)
-                    cells.append(scheme.cells(s).view("i8"))
-                    counts.append(np.bincount((s >> _U(58)).astype("i8"), minlength=GROUPS).astype("<u4").tobytes())
-                stops = np.cumsum([0, *map(len, cells)]).astype("i4")
-                flat = pa.array(np.concatenate(cells) if cells else np.zeros(0, "i8"))
-                yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], part["row"], pa.array(sids, pa.int64()), pa.array(ns, pa.int64()), pa.ListArray.from_arrays(pa.array(stops), flat), pa.array(counts, pa.binary())],
-                    schema=arrow,
-                )
+                    sids.append(_sid(s))
+                    counts.append(count_vector(s).astype("<u2").tobytes())
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["row"], pa.array(sids, pa.int64()), pa.array(ns, pa.int64()), pa.array(counts, pa.binary())], schema=arrow)
+            release()
+
+    return _rows(docs).mapInArrow(profile, "doc_id long, row long, sid long, n long, counts binary")
+
+
+def _members(docs: DataFrame, size: int, scheme: Scheme) -> DataFrame:
+    """(cell, sid) of the cells that hold two or more different sets.
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row"))
-    return rows.select("doc_id", "row", "text").mapInArrow(profile, schema)
+    The cells of a block of documents leave a task as one packed row for each partition of cells, equal sets of a block
+    once, so a cell costs 5 to 7 bytes in the shuffle and nothing is read twice.
+    """
+    buckets = partitions_for(docs, PARTITION_BYTES)
+    arrow = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        release()
+        sids: dict[int, int] = {}
+        cells: list[np.ndarray] = []
+
+        def rows() -> pa.RecordBatch:
+            names = np.fromiter(sids, "i8", len(sids))
+            owner = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+            flat = np.concatenate(cells) if cells else np.zeros(0, "u8")
+            order = np.argsort(flat, kind="stable")  # a bucket is a range of cells
+            flat, owner = flat[order], owner[order]
+            cuts = np.searchsorted(flat, np.array([(b << 64) // buckets for b in range(1, buckets)], "u8")) if buckets > 1 else []
+            out = []
+            for b, (c, o) in enumerate(zip(np.split(flat, cuts), np.split(owner, cuts), strict=True)):
+                if len(c):
+                    used, o = np.unique(o, return_inverse=True)
+                    out.append((b, pack(cells=ascending(c), owner=small(o), sids=names[used])))
+            sids.clear(), cells.clear()
+            del flat, owner, order
+            release()
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], schema=arrow)
+
+        total = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                for s in shingle_sets(batch["text"].slice(at, 500), size):
+                    sid = _sid(s)
+                    if sid is not None and sid not in sids:
+                        sids[sid] = len(sids)
+                        cells.append(scheme.cells(s))
+                        total += len(cells[-1])
+                if total >= BLOCK_CELLS:
+                    yield rows()
+                    total = 0
+        if sids:
+            yield rows()
+
+    def gather(key: tuple, packed: pd.DataFrame) -> pd.DataFrame:
+        parts = [unpack(x) for x in packed["data"]]
+        cells = np.concatenate([back(p["cells"]) for p in parts])
+        sids = np.concatenate([p["sids"][p["owner"]] for p in parts])
+        parts.clear()
+        order = np.lexsort((sids, cells))
+        cells, sids = cells[order], sids[order]
+        new = np.concatenate([[True], (cells[1:] != cells[:-1]) | (sids[1:] != sids[:-1])])
+        cells, sids = cells[new], sids[new]
+        same = cells[1:] == cells[:-1]
+        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        out = pd.DataFrame({"cell": cells[keep].view("i8"), "sid": sids[keep]})
+        del cells, sids, order, new
+        release()
+        return out
+
+    return docs.select("text").mapInArrow(scatter, "bucket int, data binary").groupBy("bucket").applyInPandas(gather, "cell long, sid long")
 
 
 def _forests(tasks: DataFrame, solve: Callable[[list, list], list[tuple[int, int]]]) -> DataFrame:
@@ -315,14 +403,11 @@ def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataF
     one (with the smallest id, then row hash; fully equal rows share it) that stands for its component.
     """
     scheme = Scheme(num, den)
-    profiles = materialise(_profiles(docs, size, scheme), "profiles")
+    profiles = materialise(_profiles(docs, size), "profiles")
     real = profiles.where(F.col("sid").isNotNull())
     reps = real.groupBy("sid").agg(F.min("row").alias("row"), F.first("n").alias("n"))
 
-    # cells with two or more different sets; the counts are combined before the shuffle
-    cells = real.select("sid", F.explode("cells").alias("cell"))
-    many = cells.groupBy("cell").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("cell")
-    members = materialise(cells.join(many, "cell").distinct(), "members")
+    members = materialise(_members(docs, size, scheme), "members")
     sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("count"))
     sized = members.join(sizes, "cell")
     lists = sized.where(F.col("count") <= LIST_MEMBERS).groupBy("cell").agg(F.sort_array(F.collect_list("sid")).alias("sids"))
@@ -332,7 +417,7 @@ def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataF
     loaded = lists.union(large).join(vectors, "sid")
 
     def by_bounds(n: np.ndarray, data: list[bytes]) -> list[tuple[int, int]]:
-        return bound_forest(np.frombuffer(b"".join(data), "<u4").reshape(len(data), GROUPS).astype("i8"), n, scheme)
+        return bound_forest(folded([np.frombuffer(x, "<u2") for x in data]), n, scheme)
 
     near = connected_components(_forests(_in_blocks(loaded, "key", "blocks"), by_bounds), "near").select(F.col("node").alias("sid"), F.col("root").alias("key"))
     near = materialise(near, "near-sets")
@@ -341,7 +426,7 @@ def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataF
     wanted = near.join(reps, "sid")
     weight = wanted.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
     wanted = wanted.join(weight, "key").select("row", "sid", "key", "n", "blocks")
-    texts = docs.select("text", F.xxhash64("doc_id", "text").alias("row")).join(wanted, "row").dropDuplicates(["sid"])
+    texts = _rows(docs).select("text", "row").join(wanted, "row").dropDuplicates(["sid"])
     arrow = pa.schema([("sid", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("blocks", pa.int64()), ("data", pa.binary())])
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
