@@ -8,12 +8,14 @@ a vectorised gather.  The memory of met words is bounded: beyond ``MAX_WORDS`` i
 from __future__ import annotations
 
 import os
+import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MAX_WORDS = 2_500_000
+MAX_WORDS = 700_000
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -37,8 +39,41 @@ def plain(texts: pa.Array) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(at - at[0]), pa.py_buffer(raw.translate(_BYTES)))
 
 
+#: A run of letters, then ASCII punctuation without the apostrophe: two pre-tokens that normalising cannot join.
+_PARTS = re.compile(r"([a-zà-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+
+
+class _Store:
+    """Strings and their ids, in one flat array."""
+
+    def __init__(self) -> None:
+        self.index: dict[str, int] = {}
+        self.flat, self.used = np.empty(1 << 16, "<u2"), 0
+        self.starts, self.lengths = np.empty(1 << 16, "i4"), np.empty(1 << 16, "i4")
+
+    def add(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.index)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while n + len(names) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.lengths))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[n : n + len(names)] = self.used + np.cumsum(sizes) - sizes
+        self.lengths[n : n + len(names)] = sizes
+        self.used += len(ids)
+        self.index.update(zip(names, range(n, n + len(names)), strict=True))
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the strings at these places, in one array, and how many each has."""
+        size = self.lengths[at]
+        total = int(size.sum())
+        shift = self.starts[at] - (np.cumsum(size, dtype="i4") - size)
+        return self.flat[np.repeat(shift, size) + np.arange(total, dtype="i4")], size
+
+
 class WordEncoder:
-    """Encodes with a tokenizers file whose ids fit 16 bits and whose pre-tokens never span white space."""
+    """Encodes with a tokenizers file whose ids fit 16 bits, whose pre-tokens are runs of letters, single digits or runs
+    of other characters and never span white space, and whose vocabulary marks the last token of a pre-token."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -46,52 +81,57 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.used = np.empty(1 << 16, "<u2"), 0
-        self.starts, self.lengths = np.empty(1 << 16, "i8"), np.empty(1 << 16, "i4")
+        self.words, self.parts = _Store(), _Store()
 
     def _learn(self, fresh: list[str]) -> None:
-        """Encode new words, many at a time with spaces between: a token belongs to the word at its offset."""
-        for at in range(0, len(fresh), 500):
-            part = fresh[at : at + 500]
-            done = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            size, n = len(done.ids), len(self.index)
-            while self.used + size > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            while n + len(part) > len(self.starts):
-                self.starts, self.lengths = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.lengths))
-            begins = np.cumsum([0, *[len(w) + 1 for w in part]])
-            offsets = np.fromiter((o[0] for o in done.offsets), "i8", size)
-            counts = np.bincount(np.searchsorted(begins, offsets, side="right") - 1, minlength=len(part))
-            self.flat[self.used : self.used + size] = done.ids
-            self.starts[n : n + len(part)] = self.used + np.cumsum(counts) - counts
-            self.lengths[n : n + len(part)] = counts
-            self.used += size
-            self.index.update(zip(part, range(n, n + len(part)), strict=True))
+        """Encode new words: letters with punctuation after them by these two parts, any other word alone."""
+        cut = [_PARTS(w) for w in fresh]
+        bodies, tails = [m[1] for m in cut if m], [m[2] for m in cut if m]
+        new = [p for p in dict.fromkeys(bodies + tails) if p and p not in self.parts.index]
+        for at in range(0, len(new), 2000):  # many at a time, told apart by the tokens that end a pre-token
+            part = new[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "i8")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part):
+                raise ValueError("the vocabulary does not mark the ends of words")
+            self.parts.add(part, ids, np.diff(stops, prepend=0))
+        find = self.parts.index
+        pairs = np.array([[find[x] for x in bodies], [find[x] if x else -1 for x in tails]], "i8").T.ravel()
+        ids, sizes = self.parts.gather(pairs[pairs >= 0])
+        per = np.zeros(len(pairs), "i8")
+        per[pairs >= 0] = sizes
+        self.words.add([w for w, m in zip(fresh, cut, strict=True) if m], ids, per[::2] + per[1::2])
+        others = [w for w, m in zip(fresh, cut, strict=True) if not m]
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        self.words.add(others, np.fromiter(chain.from_iterable(encoded), "i8"), np.fromiter(map(len, encoded), "i8", len(encoded)))
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by ``end``, in one array; number of ids of each text with its end."""
-        if len(self.index) > MAX_WORDS:
+        if len(self.words.index) > MAX_WORDS:
             self._clear()
         split = pc.split_pattern(plain(texts), " ")
         coded = split.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if fresh := [w for w in distinct if w not in self.index]:
-            self._learn(fresh)
-        own = np.fromiter(map(self.index.__getitem__, distinct), "i8", len(distinct))
-        at = own[coded.indices.to_numpy()]
-        stop = np.cumsum(pc.list_value_length(split).to_numpy())
-        words = np.diff(stop, prepend=0)
-        size = self.lengths[at].astype("i8")
+        distinct, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.words.index
+        places = list(map(index.get, distinct))
+        if None in places:
+            self._learn([w for w, at in zip(distinct, places, strict=True) if at is None])
+            places = list(map(index.get, distinct))
+        own = np.array(places, "i4")
+        ids, size = self.words.gather(own[coded.indices.to_numpy()])
+        count = pc.list_value_length(split).to_numpy()
+        stop = np.cumsum(count)
         ends = np.concatenate([[0], np.cumsum(size)])
-        per_text = ends[stop] - ends[stop - words] + 1
-        first = ends[:-1] + np.repeat(np.arange(len(words)), words)  # after the end ids of the texts before
-        out = np.full(int(per_text.sum()), end, "<u2")
-        step = np.arange(int(ends[-1])) - np.repeat(ends[:-1], size)
-        out[np.repeat(first, size) + step] = self.flat[np.repeat(self.starts[at], size) + step]
+        per_text = ends[stop] - ends[stop - count] + 1
+        out = np.full(len(ids) + len(count), end, "<u2")
+        last = np.zeros(len(out), bool)
+        last[np.cumsum(per_text) - 1] = True
+        out[~last] = ids
         return out, per_text
 
 
@@ -100,3 +140,8 @@ def encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
+
+
+def forget() -> None:
+    """Drop the encoders that this worker keeps from tasks of other operators."""
+    _ENCODERS.clear()

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlode.llm.common import partitions_for, scratch, words
-from siftlode.llm.encoding import plain
+from siftlode.llm.encoding import forget, plain
 from siftlode.llm.packing import pack, release, small, unpack
 
 #: Counts up to this one are discounted.
@@ -104,12 +104,13 @@ def _scatter(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int64()), ("data", pa.binary())])
+        forget()
         part = TaskContext.get().partitionId()
         serial = 0
         for ids, texts in _blocks(batches):
             split = pc.split_pattern(plain(texts), " ")
             coded = split.flatten().dictionary_encode()
-            names = coded.dictionary.to_pylist()
+            names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
             real = np.fromiter((w != "" for w in names), bool, len(names))
             known = np.fromiter((xxhash.xxh64_intdigest(w) for w in names), "u8", len(names))
             at = coded.indices.to_numpy() if len(coded) else np.zeros(0, "i4")

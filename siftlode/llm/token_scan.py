@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from siftlode.llm.common import materialise, read_file, scratch, write_file
 from siftlode.llm.encoding import default_path, encoder
+from siftlode.llm.packing import release
 
 BLOCK_TOKENS = 1 << 20
 FILE_TOKENS = 1 << 23
@@ -52,10 +53,12 @@ def write_flat(docs: DataFrame, vocabulary: str | None = None, end: int = END, f
             write_file(uri, tokens.tobytes())
             done.append((uri, len(tokens), list(ids)))
             ids.clear(), parts.clear()
+            del tokens
+            release()
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                chunk = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 2000):
+                chunk = batch.slice(at, 2000)
                 parts.append(encoder(path).encode(chunk["text"], end)[0])
                 ids += chunk["doc_id"].to_pylist()
                 if sum(map(len, parts)) >= file_tokens:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from siftlode.llm.common import materialise, partitions_for, read_file, scratch, write_file
 from siftlode.llm.encoding import default_path, encoder
+from siftlode.llm.packing import release
 
 SHARD_TOKENS = 4_000_000
 #: Bits between two stored counts of ones.
@@ -40,8 +41,8 @@ _MAGIC = b"SLWM0001"
 class WaveletMatrix:
     """Wavelet matrix of a sequence of 16-bit token ids."""
 
-    def __init__(self, n: int, alphabet: np.ndarray, zeros: list[int], planes: list[np.ndarray]):
-        self.n, self.alphabet, self.zeros, self.planes = n, alphabet, zeros, planes
+    def __init__(self, n: int, alphabet: np.ndarray, counts: np.ndarray, zeros: list[int], planes: list[np.ndarray]):
+        self.n, self.alphabet, self.counts, self.zeros, self.planes = n, alphabet, counts, zeros, planes
         self.levels = len(planes)
         self._ones: dict[int, np.ndarray] = {}
 
@@ -54,14 +55,15 @@ class WaveletMatrix:
         number[alphabet] = np.arange(len(alphabet))
         rest = number[ids]
         levels = max(1, int(len(alphabet) - 1).bit_length()) if len(alphabet) else 0
-        zeros, planes = [], []
+        zeros, planes, parted = [], [], np.empty_like(rest)
         for level in range(levels - 1, -1, -1):
-            bit = (rest >> level & 1).astype(bool)
+            bit = (rest & (1 << level)) != 0
             planes.append(np.packbits(bit, bitorder="little"))
-            low = rest[~bit]
-            zeros.append(len(low))
-            rest = np.concatenate([low, rest[bit]])
-        return WaveletMatrix(len(ids), alphabet, zeros, planes)
+            zeros.append(len(rest) - int(np.count_nonzero(bit)))
+            np.compress(~bit, rest, out=parted[: zeros[-1]])
+            np.compress(bit, rest, out=parted[zeros[-1] :])
+            rest, parted = parted, rest
+        return WaveletMatrix(len(ids), alphabet, np.bincount(ids, minlength=1 << 16)[alphabet], zeros, planes)
 
     def _bits(self, level: int) -> np.ndarray:
         return np.unpackbits(self.planes[level], count=self.n, bitorder="little")
@@ -132,22 +134,26 @@ class WaveletMatrix:
         return at
 
     def decode(self) -> np.ndarray:
-        """All token ids: the partings undone from the last plane to the first."""
-        value = np.zeros(self.n, "<u2")
-        for level in range(self.levels - 1, -1, -1):
-            bit = self._bits(level).astype(bool)
-            back = np.empty_like(value)
-            back[~bit] = value[: self.zeros[level]]
-            back[bit] = value[self.zeros[level] :] | (1 << (self.levels - 1 - level))
-            value = back
-        return self.alphabet[value] if self.n else value
+        """All token ids: positions go through the partings; after the last plane tokens stand in bit-reversed order."""
+        at, parted = np.arange(self.n, dtype="u4"), np.empty(self.n, "u4")
+        for level in range(self.levels):
+            bit = self._bits(level).view(bool)
+            np.compress(~bit, at, out=parted[: self.zeros[level]])
+            np.compress(bit, at, out=parted[self.zeros[level] :])
+            at, parted = parted, at
+        number = np.arange(len(self.alphabet))
+        turned = sum(((number >> k & 1) << (self.levels - 1 - k) for k in range(self.levels)), np.zeros_like(number))
+        order = np.argsort(turned)
+        out = np.empty(self.n, "<u2")
+        out[at] = np.repeat(self.alphabet[order], self.counts[order])
+        return out
 
     def to_bytes(self, ids: list[int | None], lengths: np.ndarray) -> bytes:
         """The shard file: magic, header, then compressed sections."""
         pack = zstandard.ZstdCompressor(level=1).compress
         null = np.array([i is None for i in ids], "u1")
         known = np.array([0 if i is None else i for i in ids], "<i8")
-        raw = [known.tobytes(), null.tobytes(), np.asarray(lengths, "<u4").tobytes(), self.alphabet.astype("<u2").tobytes()]
+        raw = [known.tobytes(), null.tobytes(), np.asarray(lengths, "<u4").tobytes(), self.alphabet.astype("<u2").tobytes(), self.counts.astype("<u4").tobytes()]
         raw += [self._directory(x).astype("<u4").tobytes() for x in range(self.levels)] + [p.tobytes() for p in self.planes]
         sections = [pack(x) for x in raw]
         head = json.dumps({"n": self.n, "docs": len(ids), "zeros": self.zeros, "rank_bits": RANK_BITS, "sizes": [len(x) for x in sections]}).encode()
@@ -165,9 +171,9 @@ class WaveletMatrix:
             raw.append(unpack(data[at : at + n]))
             at += n
         levels = len(head["zeros"])
-        planes = [np.frombuffer(x, "u1") for x in raw[4 + levels :]]
-        m = WaveletMatrix(head["n"], np.frombuffer(raw[3], "<u2"), head["zeros"], planes)
-        m._ones = {x: np.frombuffer(raw[4 + x], "<u4").astype("i8") for x in range(levels)}
+        planes = [np.frombuffer(x, "u1") for x in raw[5 + levels :]]
+        m = WaveletMatrix(head["n"], np.frombuffer(raw[3], "<u2"), np.frombuffer(raw[4], "<u4"), head["zeros"], planes)
+        m._ones = {x: np.frombuffer(raw[5 + x], "<u4").astype("i8") for x in range(levels)}
         ids = [None if z else int(i) for i, z in zip(np.frombuffer(raw[0], "<i8"), np.frombuffer(raw[1], "u1"), strict=True)]
         return m, ids, np.frombuffer(raw[2], "<u4")
 
@@ -194,10 +200,12 @@ def write_shards(docs: DataFrame, vocabulary: str | None = None, end: int = END,
             write_file(uri, WaveletMatrix.build(tokens).to_bytes(ids, np.concatenate(sizes)))
             done.append((TaskContext.get().partitionId(), len(done), uri, len(ids), len(tokens)))
             ids.clear(), parts.clear(), sizes.clear()
+            del tokens
+            release()
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                chunk = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 2000):
+                chunk = batch.slice(at, 2000)
                 tokens, lengths = encoder(path).encode(chunk["text"], end)
                 ids += chunk["doc_id"].to_pylist()
                 parts.append(tokens), sizes.append(lengths)
