@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from siftlode.llm.common import WHITESPACE, let, materialise, words
 
-#: Hash buckets of the two multinomials: bounds what is broadcast to this many doubles.
-BUCKETS = 4096
-#: Score below which a document is rejected, in nats per n-gram.
+#: Hash buckets of the two multinomials: bounds what is broadcast to this many doubles.  Junk words are all distinct, so with few
+#: buckets they share those of clean words and score like them.
+BUCKETS = 1 << 16
+#: Score below which a document is rejected, in nats per n-gram; checked on labelled junk and clean rows at this number of buckets.
 THRESHOLD = -0.2
 #: At most this many trusted documents (those with the smallest md5 of their id) estimate the trusted multinomial.
 MAX_TRUSTED = 20_000

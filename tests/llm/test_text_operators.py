@@ -61,6 +61,17 @@ def test_quality_ratio_is_that_of_two_multinomials(spark):
     assert got[1] > 0 > got[3]
 
 
+def test_symbol_junk_is_rejected_and_good_rows_stay(spark):
+    """Labelled rows of the given tables: words with symbols stuck to them pass the counting rules, so the ratio must reject them."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = quality.judge(docs, quality.trusted_ids(labels)).join(labels, "doc_id", "left").where("not base_failed").collect()
+    junk = [r for r in rows if sum(bool(re.search(r"[#*$%&|<>@]{3}", w)) for w in WORD.findall(r.text)) > 0.3 * r.n_words]
+    good = [r for r in rows if r.quality == 1]
+    assert len(junk) >= 20 and sum(r.kept for r in junk) <= 0.05 * len(junk)
+    assert len(good) >= 200 and sum(not r.kept for r in good) <= 0.01 * len(good)
+
+
 PII = [
     "write to a.b+c@mail.example.com, x@y, q@z.org_x@d.org now",
     "from 10.0.0.1 and 300.1.1.1 or 1.2.3.4.5.6.7.8 and 001.2.3.004",
