@@ -235,6 +235,13 @@ def test_templates_and_slots(spark):
     assert decontam.leaks_query(d.where("false"), b).count() == 0 and decontam.decontaminate(d, b.where("false")).count() == d.count()
 
 
+def test_items_of_numbers_are_found_verbatim(spark):
+    items = [(1, "Compute 12 + 35 - 7 * 3 + 8."), (2, "What is 17 * 23?")]
+    docs = [(1, "First some text. Compute 12 + 35 - 7 * 3 + 8. Then more text."), (2, "so what is 17 * 23? nobody knows"), (3, "Compute 12 + 35 - 7 * 3 + 9."), (4, "What is 17 * 24?")]
+    found = decontam.leaks_query(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (2, 2)}
+
+
 def test_short_items_and_shuffled_windows(spark, monkeypatch, odd_docs):
     b = spark.createDataFrame([(13, "short item here")], "item_id long, text string")
     d = spark.createDataFrame([(1, "a short item, here we are"), (2, "short here item")], "doc_id long, text string")
