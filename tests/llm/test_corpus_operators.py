@@ -242,6 +242,14 @@ def test_items_of_numbers_are_found_verbatim(spark):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (2, 2)}
 
 
+def test_copies_in_other_letters_are_found(spark):
+    item = "When the train from Paris leaves at 9 with 120 people and travels 300 km to Lyon how many people reach Lyon by 12"
+    docs = [(1, item), (5, item.upper()), (6, item.lower()), (7, item.title()), (8, item.upper().replace("300", "450")), (9, item.lower().replace("by 12", "by 9"))]
+    found = decontam.leaks_query(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(10, item)], "item_id long, text string"))
+    got = {r.doc_id: r.changed for r in found.collect()}
+    assert set(got) == {1, 5, 6, 7, 8, 9} and not got[5] and got[8]
+
+
 def test_short_items_and_shuffled_windows(spark, monkeypatch, odd_docs):
     b = spark.createDataFrame([(13, "short item here")], "item_id long, text string")
     d = spark.createDataFrame([(1, "a short item, here we are"), (2, "short here item")], "doc_id long, text string")
