@@ -7,7 +7,8 @@ are words are hashed and the documents' windows joined with the benchmark's (an
 window).  A second form of each window is blind to case: names are words in lower case there, so copies in other letters
 are found.  Where that has fewer words too, the exact tokens in lower case take its place: no window is left out.  Hits of one alignment (document, item, distance of positions) are checked for consistent slots: every value
 of the item's placeholders must always be replaced by the same value.  A document is contaminated by an item when the
-windows of its consistent alignments cover at least ``COVERAGE`` of the item's windows.  DataFrame functions only.
+windows of its consistent alignments cover at least ``COVERAGE`` of the item's windows, or when ``RUN`` tokens in a row
+match in one alignment, consistent or verbatim.  DataFrame functions only.
 
 Defined results: null or empty texts have no windows; rows of equal id and text are one document; null ids are judged
 by their text and reported as null; repeated benchmark items with one id are alternatives pooled under it, null item
@@ -199,7 +200,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
         *[F.struct(F.count(f"c{kind}").alias("matched"), F.first(n).alias("windows"), F.max(f"c{kind}").alias("changed")).alias(f"s{kind}") for kind, n in steps],
     )
     enough = lambda s: (F.col(s)["windows"] > 0) & (F.col(s)["matched"] >= coverage * F.col(s)["windows"])
-    chosen = F.when(enough("s0"), F.col("s0")).when(enough("s1"), F.col("s1")).when(enough("s2"), F.col("s2"))
+    chosen = F.when(enough("s0"), F.col("s0")).when(enough("s1"), F.col("s1")).when(enough("s2") | F.col("run"), F.col("s2"))
     found = found.select("_key", "doc_id", "item_id", chosen.alias("s")).where(F.col("s").isNotNull())
     out = found.select("_key", "doc_id", "item_id", "s.matched", "s.windows", F.coalesce("s.changed", F.lit(False)).alias("changed"))
     return out.withColumn("coverage", F.round(F.col("matched") / F.col("windows"), 6))

@@ -242,6 +242,14 @@ def test_items_of_numbers_are_found_verbatim(spark):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (2, 2)}
 
 
+def test_excerpts_of_long_items_are_found(spark):
+    rng = random.Random(5)
+    w = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(500)]
+    docs = [(1, " ".join(["before", *w[100:300], "after"])), (2, " ".join(w[7:20])), (3, " ".join(w[7:19])), (4, " ".join(w[7:15] + ["other"] + w[16:24]))]
+    found = decontam.leaks_query(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(w))], "item_id long, text string"))
+    assert {r.doc_id: (r.matched, r.windows) for r in found.collect()} == {1: (193, 493), 2: (6, 493)}
+
+
 def test_copies_in_other_letters_are_found(spark):
     item = "When the train from Paris leaves at 9 with 120 people and travels 300 km to Lyon how many people reach Lyon by 12"
     docs = [(1, item), (5, item.upper()), (6, item.lower()), (7, item.title()), (8, item.upper().replace("300", "450")), (9, item.lower().replace("by 12", "by 9"))]
