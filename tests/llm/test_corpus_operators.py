@@ -326,9 +326,38 @@ def test_archives(spark):
         assert by[5, 9].payload_digest == __import__("base64").b32encode(hashlib.sha1("<p>é</p>".encode()).digest()).decode()
     kept = {(r.page_id, r.payload_bytes): r.record_type for r in warc.read_archives(warc.write_archives(d, min_bytes=1)).collect()}
     assert kept[8, 0] == "response" and kept[5, 9] == "revisit"
-    uri = warc.write_archives(d.where("page_id in (3, 5)")).first().uri
-    heads = [h for h, _ in warc.records(warc.read_file(uri))]
-    assert all(h["warc-record-id"].startswith("<urn:uuid:") for h in heads)
+    uris = [r.uri for r in warc.write_archives(d.where("page_id in (3, 5)")).collect()]
+    heads = [h for uri in uris for h, _ in warc.records(warc.read_file(uri))]
+    assert heads[0]["warc-type"] == "warcinfo" and all(h["warc-record-id"].startswith("<urn:uuid:") for h in heads)
     ids = {h["warc-record-id"] for h in heads if h["warc-type"] == "response"}
-    assert all(h["warc-refers-to"] in ids and h["warc-profile"] == warc.PROFILE for h in heads if h["warc-type"] == "revisit" and len(heads) == 3)
+    revisits = [h for h in heads if h["warc-type"] == "revisit"]
+    assert revisits and all(h["warc-refers-to"] in ids and h["warc-profile"] == warc.PROFILE and h["warc-refers-to-date"] == warc.DATE for h in revisits)
+    twice = warc.write_archives(d.union(d))  # fully equal rows: record ids stay unique, revisits name no one record
+    heads = [h for r in twice.collect() for h, _ in warc.records(warc.read_file(r.uri))]
+    assert len({h["warc-record-id"] for h in heads}) == len(heads) and not any("warc-refers-to" in h for h in heads)
     assert warc.archives_query(d.where("false")).count() == 0
+
+
+def test_archives_by_a_shuffled_join(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = spark.createDataFrame([(i, f"u{i}", f"<p>{i % 7}</p>") for i in range(100)], "page_id long, url string, html string")
+        rows = warc.archives_query(d).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r.page_id: r.refers_to for r in rows} == {i: None if i < 7 else i % 7 for i in range(100)}
+
+
+def test_reading_an_archive_takes_linear_time():
+    import time
+
+    def seconds(n):
+        data = b"".join(warc.record(i, f"http://a/{i}", bytes([65 + i % 26]) * 800, "A" * 32, warc._fresh_id()) for i in range(n))
+        began = time.perf_counter()
+        assert sum(1 for _ in warc.records(data)) == n
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(16_000) < 10 * seconds(4_000) + 0.2
+    with pytest.raises(ValueError):
+        list(warc.records(warc.record(1, None, b"x", "A" * 32, "i")[:-9]))
