@@ -68,27 +68,28 @@ def pii_sql() -> str:
     parts = []
     for rank, k in enumerate(pii.KINDS):
         near = " OR ".join(f"contains(near, '{w}')" for w in k.context)
-        score = f"AND {k.prior} + CASE WHEN {near} THEN 0.3 ELSE 0 END >= {pii.KEEP}" if not k.always else ""
+        points = f"{k.prior}::DOUBLE + CASE WHEN {near} THEN 0.3::DOUBLE ELSE 0 END"
+        score = f"AND score >= {pii.KEEP}" if not k.always else ""
         parts.append(
             rf"""
-SELECT doc_id, {rank} AS rank, '{k.name}' AS kind, start, start + length(hit) AS stop FROM (
+SELECT doc_id, {rank} AS rank, '{k.name}' AS kind, start, start + length(hit) AS stop, score FROM (SELECT *, {points} AS score FROM (
   SELECT doc_id, hit, start, regexp_replace(hit, '[^0-9]', '', 'g') AS digits, replace(hit, ' ', '') AS bare,
     lower(substr(text, greatest(start - {pii.CONTEXT} + 1, 1), least(start, {pii.CONTEXT}))) AS near FROM (
     SELECT doc_id, text, hits[i] AS hit, (list_sum(list_transform(gaps[1:i], lambda g: length(g)))
       + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0))::BIGINT AS start FROM (
       SELECT *, unnest(generate_series(1, len(hits))) AS i FROM (
         SELECT doc_id, text, string_split_regex(text, '{k.plain}') AS gaps, regexp_extract_all(text, '{k.plain}') AS hits FROM d)))
-) WHERE ({checks[k.name]}) {score}"""
+)) WHERE ({checks[k.name]}) {score}"""
         )
     counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k.name}') AS n_{k.name}" for k in pii.KINDS)
     say = "kind || ':' || start || ':' || stop"
     base = sum(k.always for k in pii.KINDS)
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), s AS ({' UNION ALL '.join(parts)}),
-g AS (SELECT doc_id, {counts}, string_agg({say}, ',' ORDER BY rank, start) AS spans,
+g AS (SELECT doc_id, {counts}, count(*) AS n, round(max(score), 2) AS best_score, string_agg({say}, ',' ORDER BY rank, start) AS spans,
   string_agg({say}, ',' ORDER BY rank, start) FILTER (WHERE rank < {base}) AS base FROM s GROUP BY doc_id)
 SELECT doc_id, {', '.join(f'coalesce(n_{k.name}, 0) AS n_{k.name}' for k in pii.KINDS)},
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n, 0) AS n_spans, n IS NOT NULL AS has_pii, best_score FROM d LEFT JOIN g USING (doc_id)"""
 
 
 def warc_sql() -> str:

@@ -7,16 +7,19 @@ has a score: the prior of its kind, raised when a context word stands within ``C
 after the first four are kept only when the score reaches ``KEEP``.  Positions are code points, end exclusive.
 
 Spark has no function that returns match positions, so they follow from what lies between the matches: splitting at
-the pattern and extracting its matches see the same leftmost non-overlapping matches.  DataFrame functions only.
+the pattern and extracting its matches see the same leftmost non-overlapping matches.  Matches are validated first; only
+where one stands are lengths summed up, over a tree of partial sums.  DataFrame functions only.
 
 Defined results: null text counts as empty; empty text has no spans; null ids and repeated rows are judged like any
 other row; an empty table gives an empty result; very long texts are scanned in linear time (each pattern starts only
-where a run of its first class starts or the last match ended, and repetitions never give back); extra columns pass
-through :func:`find_spans` unless they are called ``spans``, which is replaced.
+where a run of its first class starts or the last match ended, and repetitions never give back; a position takes a fixed
+number of additions, up to ``FAN ** (SUMS + 1)`` matches); extra columns pass through :func:`find_spans` unless they are
+called ``spans``, which is replaced, whatever their names are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +31,8 @@ from siftlode.llm.common import let
 CONTEXT = 40
 #: Least score of a span of the kinds that the method adds.
 KEEP = 0.5
+#: Numbers under a node of the tree of partial sums, and its levels; no result depends on them.
+FAN, SUMS = 32, 4
 
 
 @dataclass(frozen=True)
@@ -136,42 +141,78 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _total(x: Column, start: Column, count: Column) -> Column:
+    """The sum of ``count`` numbers of an array from ``start`` (from 0)."""
+    return F.aggregate(F.slice(x, (start + 1).cast("int"), count.cast("int")), F.lit(0).cast("long"), lambda a, n: a + n)
+
+
+def _before(lengths: Column, use: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """``use(before)``, where ``before(i)`` is the sum of the first i lengths.
+
+    A running sum would need a fold that keeps all its results, and Spark copies a fold's state in every step.
+    """
+
+    def level(sums: list[Column]) -> Column:
+        if len(sums) <= SUMS:
+            last = sums[-1]
+            nodes = F.transform(F.sequence(F.lit(0), F.floor((F.size(last) - 1) / FAN)), lambda b: _total(last, b * FAN, F.lit(FAN)))
+            return let(nodes, lambda x: level([*sums, x]))
+
+        def before(i: Column) -> Column:
+            out = _total(sums[SUMS], F.lit(0), F.floor(i / FAN**SUMS))
+            for k in range(SUMS):
+                out = out + _total(sums[k], F.floor(i / FAN ** (k + 1)) * FAN, F.floor(i / FAN**k) % FAN)
+            return out
+
+        return use(before)
+
+    return level([lengths])
+
+
 def _spans(text: Column, kind: Kind) -> Column:
     """The confirmed spans of one kind in ``text`` (not null), in order of position."""
-
-    def place(x: Column) -> Column:
-        ahead = F.transform(x["gap"], lambda g, i: F.length(g).cast("long") + F.coalesce(F.length(F.get(x["hit"], i - 1)), F.lit(0)))
-        ends = F.aggregate(
-            F.slice(ahead, F.lit(1), F.size(x["hit"])),
-            F.array().cast("array<bigint>"),
-            lambda a, n: F.concat(a, F.array(n + F.coalesce(F.get(a, F.size(a) - 1), F.lit(0).cast("long")))),
-        )
-
-        def span(hit: Column, start: Column) -> Column:
-            near = F.lower(F.substr(text, F.greatest(start - CONTEXT + 1, F.lit(1)).cast("int"), F.least(start, F.lit(CONTEXT)).cast("int")))
-            found = F.lit(False)
-            for word in kind.context:
-                found = found | F.contains(near, F.lit(word))
-            return F.struct(
-                F.lit(kind.name).alias("kind"),
-                start.alias("start"),
-                (start + F.length(hit)).alias("end"),
-                (F.lit(kind.prior) + F.when(found, 0.3).otherwise(0.0)).alias("score"),
-                hit.alias("hit"),
+    none = F.array().cast(_SPAN)
+    words = F.lit("|".join(kind.context))
+
+    def place(p: Column) -> Column:
+        def near(i: Column) -> Column:
+            # matches are not empty, so the characters before one stand in this many pieces
+            pieces = F.transform(F.sequence(F.greatest(i - CONTEXT, F.lit(0)), i), lambda j: F.concat(F.coalesce(F.get(p["hit"], j - 1), F.lit("")), F.get(p["tail"], j)))
+            return F.lower(F.right(F.array_join(pieces, ""), F.lit(CONTEXT)))
+
+        def at(before: Callable[[Column], Column], s: Column) -> Column:
+            start = before(s["i"]) + F.get(p["gap"], s["i"])
+            return let(
+                start, lambda x: F.struct(F.lit(kind.name).alias("kind"), x.alias("start"), (x + F.length(F.get(p["hit"], s["i"]))).alias("end"), s["score"].alias("score"))
             )
 
-        kept = F.filter(F.zip_with(x["hit"], ends, span), lambda s: _valid(kind.name, s["hit"]) & (F.lit(kind.always) | (s["score"] >= KEEP)))
-        return F.transform(kept, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score")))
+        score = lambda i: F.lit(kind.prior) + F.when(F.rlike(near(i), words), 0.3).otherwise(0.0)
+        scored = F.transform(p["good"], lambda i: F.struct(i.alias("i"), score(i).alias("score")))
+        kept = scored if kind.always else F.filter(scored, lambda s: s["score"] >= KEEP)
+        both = F.transform(F.sequence(F.lit(0), F.size(p["hit"]) - 1), lambda i: F.get(p["gap"], i) + F.length(F.get(p["hit"], i)))
+        summed = lambda k: let(both, lambda n: _before(n, lambda before: F.transform(k, lambda s: at(before, s))))
+        return let(kept, lambda k: F.when(F.size(k) > 0, summed(k)).otherwise(none))
+
+    def cut(j: Column) -> Column:
+        gaps = F.split(text, kind.pattern, -1)
+        lengths = lambda g: F.transform(g, lambda x: F.length(x).cast("long")).alias("gap")
+        tails = lambda g: F.transform(g, lambda x: F.right(x, F.lit(CONTEXT))).alias("tail")
+        return let(gaps, lambda g: let(F.struct(j["hit"].alias("hit"), j["good"].alias("good"), lengths(g), tails(g)), place))
+
+    hits = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    good = lambda h: F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: _valid(kind.name, F.get(h, i)))
+    judged = let(hits, lambda h: F.when(F.size(h) > 0, let(F.struct(h.alias("hit"), good(h).alias("good")), lambda j: F.when(F.size(j["good"]) > 0, cut(j)).otherwise(none))).otherwise(none))
+    return F.when(F.rlike(text, F.lit(kind.hint)), judged).otherwise(none)
+
 
-    pieces = F.struct(F.split(text, kind.pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("hit"))
-    return F.when(F.rlike(text, F.lit(kind.hint)), let(pieces, place)).otherwise(F.array().cast(_SPAN))
+def _all_spans(text: Column, kinds: tuple[Kind, ...]) -> Column:
+    whole = F.coalesce(text, F.lit(""))
+    return F.concat(*[_spans(whole, k) for k in kinds])
 
 
 def find_spans(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """``docs`` with ``spans``: array of (kind, start, end, score), by kind in the order of ``kinds``, then position."""
-    plain = docs.drop("spans")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return plain.withColumn("spans", F.concat(*[_spans(text, k) for k in kinds]))
+    return docs.withColumn("spans", _all_spans(F.col("text"), kinds))
 
 
 def written(spans: Column) -> Column:
@@ -181,24 +222,39 @@ def written(spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of ``text`` replaced by ``[KIND]``; a span within or across an earlier one goes with it."""
-    found = find_spans(docs)
-    order = F.array_sort("spans", lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["end"] > b["end"], -1).when(a["end"] < b["end"], 1).otherwise(0))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    order = lambda s: F.array_sort(
+        s, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["end"] > b["end"], -1).when(a["end"] < b["end"], 1).otherwise(0)
+    )
+
+    def masked(x: Column) -> Column:
+        first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        clean = F.substr(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.when(
-            s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], clean, F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))
-        ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+        def step(acc: Column, s: Column) -> Column:
+            clean = F.substr(x["text"], (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+            return F.when(
+                s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(clean, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out"))
+            ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
 
-    done = F.aggregate(order, start, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"))))
-    return found.withColumn("text", done).drop("spans")
+        return F.aggregate(x["spans"], first, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(x["text"], (acc["at"] + 1).cast("int"))))
+
+    text = F.col("text")
+    clean = let(F.struct(text.alias("text"), order(_all_spans(text, KINDS)).alias("spans")), masked)
+    return docs.withColumn("text", F.when(text.isNotNull(), clean))
 
 
 def spans_query(docs: DataFrame) -> DataFrame:
-    """The digest columns of :func:`find_spans`: one row for every row of ``docs``."""
+    """The digest columns of :func:`find_spans`: one row for every row of ``docs``.
+
+    Besides them ``n_spans``, ``has_pii`` (any span of any kind) and ``best_score`` (the highest; null without spans).
+    """
     base = F.filter("spans", lambda s: s["kind"].isin([k.name for k in KINDS if k.always]))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return find_spans(docs.select("doc_id", "text")).select(
-        "doc_id", *[count(k.name) for k in KINDS], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans")
+        "doc_id",
+        *[count(k.name) for k in KINDS],
+        F.sha2(written(base), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
+        (F.size("spans") > 0).alias("has_pii"),
+        F.round(F.array_max(F.transform("spans", lambda s: s["score"])), 2).alias("best_score"),
     )

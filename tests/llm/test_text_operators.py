@@ -116,6 +116,29 @@ def test_personal_data(spark, odd_docs, no_docs):
     assert pii.find_spans(odd_docs.withColumn("spans", F.lit(1))).count() == odd_docs.count()
 
 
+def test_long_texts_take_linear_time(spark):
+    """Ten MB of proposals that fail, and a hundred thousand spans that stand."""
+    import time
+
+    numbers, mails = "12 x " * 2_000_000, "a@b.co, " * 100_000
+    docs = spark.createDataFrame([(1, numbers), (2, mails)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in pii.spans_query(docs).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[1].n_spans == 0 and not got[1].has_pii and got[2].n_email == got[2].n_spans == 100_000
+    line = ",".join(f"email:{8 * i}:{8 * i + 6}" for i in range(100_000))
+    assert got[2].spans == line and got[2].base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+
+
+def test_context_crosses_matches(spark):
+    token = "0123456789abcdef" * 2
+    text = f"token 12.34 {token} and then much later, after more than forty characters {token} key {token} {token}"
+    r = pii.spans_query(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    at = [m.start() for m in re.finditer(token, text)]
+    near = [i for i in at if any(w in text[max(0, i - pii.CONTEXT) : i] for w in ("token", "secret", "key", "password"))]
+    assert r.spans == ",".join(f"secret:{i}:{i + 32}" for i in near) and 0 < len(near) < len(at) and r.best_score == 0.6
+
+
 def test_mod_97(spark):
     rows = [("GB82WEST12345698765432", True), ("GB82WEST12345698765433", False), ("DE89370400440532013000", True), ("FR1420041010050500013M02606", True)]
     d = spark.createDataFrame(rows, "i string, ok boolean")
