@@ -3,6 +3,12 @@
 The tokenizer's own pre-tokenizer never joins characters across white space, so encoding a text equals encoding its
 white-space separated words one after another.  A worker keeps the ids of the words it has met; a batch of texts is then
 a vectorised gather.  The memory of met words is bounded: beyond ``MAX_WORDS`` it starts anew.
+
+The strings of special tokens become these tokens, as the library does by default, or are ordinary text on request.  In
+the first case they are looked for in the text as it is (not in lower case), so the whole text goes through the library.
+
+Defined results: a null or empty text, or white space only, is the end token alone; texts of any length are encoded whole;
+an empty batch gives no ids.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 MAX_WORDS = 700_000
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
@@ -75,12 +81,15 @@ class WordEncoder:
     """Encodes with a tokenizers file whose ids fit 16 bits, whose pre-tokens are runs of letters, single digits or runs
     of other characters and never span white space, and whose vocabulary marks the last token of a pre-token."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # words are ordinary text; texts with special strings go elsewhere
+        self.whole = None if special_as_text else Tokenizer.from_file(path)
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special))) if special and not special_as_text else None
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -113,6 +122,22 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by ``end``, in one array; number of ids of each text with its end."""
+        if self.special is None or not len(texts):
+            return self._by_words(texts, end)
+        marked = pc.fill_null(pc.match_substring_regex(texts, self.special.pattern), False)
+        if not pc.any(marked).as_py():
+            return self._by_words(texts, end)
+        apart = np.flatnonzero(marked.to_numpy(zero_copy_only=False))
+        ids, counts = self._by_words(pc.if_else(marked, "", texts), end)
+        encoded = [np.array([*e.ids, end], "<u2") for e in self.whole.encode_batch_fast(texts.take(pa.array(apart)).to_pylist(), add_special_tokens=False)]
+        stops = np.cumsum(counts)
+        pieces, at = [], 0
+        for k, own in zip(apart.tolist(), encoded, strict=True):
+            pieces += [ids[at : stops[k] - 1], own]  # in place of the lone end
+            at, counts[k] = stops[k], len(own)
+        return np.concatenate([*pieces, ids[at:]]), counts
+
+    def _by_words(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.words.index) > MAX_WORDS:
             self._clear()
         split = pc.split_pattern(plain(texts), " ")
@@ -135,11 +160,12 @@ class WordEncoder:
         return out, per_text
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, special_as_text: bool = False) -> WordEncoder:
     """The worker's encoder for a vocabulary file; kept between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    key = path, special_as_text
+    if key not in _ENCODERS:
+        _ENCODERS[key] = WordEncoder(path, special_as_text)
+    return _ENCODERS[key]
 
 
 def forget() -> None:

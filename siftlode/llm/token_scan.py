@@ -59,7 +59,7 @@ def write_flat(docs: DataFrame, vocabulary: str | None = None, end: int = END, f
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 chunk = batch.slice(at, 2000)
-                parts.append(encoder(path).encode(chunk["text"], end)[0])
+                parts.append(encoder(path, special_as_text=True).encode(chunk["text"], end)[0])
                 ids += chunk["doc_id"].to_pylist()
                 if sum(map(len, parts)) >= file_tokens:
                     close()

@@ -190,13 +190,17 @@ def test_many_shards_and_equal_digests(spark, monkeypatch):
     assert found.tolist() == [1, 0, 1, -1]
 
 
-TEXTS = ["It's a Test, isn't it? 42 x2!!", "naïve Ünïcode\u00a0nbsp\u2003em e\u0301 İstanbul ΣΑΣ ς", "<|endoftext|> tail", "###$$$ word### 'quoted' don't o'clock", "", None, "漢字 かな 😀😀", "a\tb\r\nc\x0bd\x0ce", "x" * 3000]
+TEXTS = [
+    "a<|endoftext|>b <|ENDOFTEXT|> c", "<|startoftext|><|endoftext|>", "x <|endoftext|", "The <|startoftext|>\n É<|endoftext|>'s END",
+    "It's a Test, isn't it? 42 x2!!", "naïve Ünïcode\u00a0nbsp\u2003em e\u0301 İstanbul ΣΑΣ ς", "<|endoftext|> tail", "###$$$ word### 'quoted' don't o'clock", "", None, "漢字 かな 😀😀", "a\tb\r\nc\x0bd\x0ce", "x" * 3000,
+]
 
 
-def test_encoding_by_words_equals_encoding_whole_texts():
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_encoding_by_words_equals_encoding_whole_texts(special_as_text):
     tok = Tokenizer.from_file(encoding.default_path())
-    tok.encode_special_tokens = True
-    enc = encoding.WordEncoder(encoding.default_path())
+    tok.encode_special_tokens = special_as_text
+    enc = encoding.WordEncoder(encoding.default_path(), special_as_text)
     for _ in range(2):  # again with known words
         ids, lengths = enc.encode(pa.array(TEXTS), 2)
         want = [[*e.ids, 2] for e in tok.encode_batch([t or "" for t in TEXTS], add_special_tokens=False)]
@@ -222,8 +226,7 @@ def test_wavelet_matrix(size):
 
 
 def test_shards_and_flat_files(spark, odd_docs, no_docs):
-    tok = Tokenizer.from_file(encoding.default_path())
-    tok.encode_special_tokens = True
+    tok = Tokenizer.from_file(encoding.default_path())  # the library's default: special strings become special tokens
     docs = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string"))
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     ids = [[*e.ids, 2] for e in tok.encode_batch([t or "" for _, t in rows], add_special_tokens=False)]
@@ -235,6 +238,8 @@ def test_shards_and_flat_files(spark, odd_docs, no_docs):
     for got in (small, wavelet.shards_query(docs)):
         assert [tuple(r) for r in got.orderBy("start").collect()] == want
     assert wavelet.shards_query(no_docs).count() == 0
+    tok.encode_special_tokens = True  # nothing but its own end may end a document of a flat file
+    ids = [[*e.ids, 2] for e in tok.encode_batch([t or "" for _, t in rows], add_special_tokens=False)]
     want_n = sorted((-1 if i is None else i, len(x) - 1) for (i, _), x in zip(rows, ids))
     counted = lambda d: sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in d.collect())
     assert counted(token_scan.scan_query(docs)) == want_n and token_scan.scan_query(no_docs).count() == 0
