@@ -208,24 +208,39 @@ def test_encoding_by_words_equals_encoding_whole_texts(special_as_text):
     assert enc.encode(pa.array([], pa.string()), 2)[0].tolist() == []
 
 
-@pytest.mark.parametrize("size", [0, 1, 2, 7, 4096, 5000])
-def test_wavelet_matrix(size):
+@pytest.mark.parametrize("block", [64, 4096, wavelet.BLOCK_BITS])
+@pytest.mark.parametrize("size", [0, 1, 2, 7, 64, 4096, 5000])
+def test_wavelet_matrix(size, block, monkeypatch):
+    monkeypatch.setattr(wavelet, "BLOCK_BITS", block)
     rng = np.random.default_rng(size)
     ids = np.minimum(rng.geometric(0.01, size), 400).astype("<u2") * 123
     built = wavelet.WaveletMatrix.build(ids)
-    m, docs, lengths = wavelet.WaveletMatrix.from_bytes(built.to_bytes([5, None], np.array([1, 2])))
+    shard = wavelet.Shard.of(built.to_bytes([5, None], np.array([1, 2])))
+    docs, lengths = shard.documents()
     assert docs == [5, None] and lengths.tolist() == [1, 2]
-    for x in (built, m):
+    for x in (built, shard.matrix()):
         assert x.decode().tolist() == ids.tolist()
         at = rng.integers(0, size, 50) if size else np.zeros(0, int)
         assert x.access(at).tolist() == ids[at].tolist()
         for token in (int(ids[0]) if size else 3, 123, 124, 65535):
-            a, b = size // 4, size - size // 5
-            assert x.count(token, a, b) == (ids[a:b] == token).sum()
-            assert x.occurrences(token, a, b).tolist() == (np.flatnonzero(ids[a:b] == token) + a).tolist()
+            for a, b in ((size // 4, size - size // 5), (0, size)):
+                assert x.count(token, a, b) == (ids[a:b] == token).sum()
+                assert x.occurrences(token, a, b).tolist() == (np.flatnonzero(ids[a:b] == token) + a).tolist()
 
 
-def test_shards_and_flat_files(spark, odd_docs, no_docs):
+def test_one_token_reads_a_bounded_part():
+    ids = np.random.default_rng(1).zipf(1.2, 3_000_000).clip(0, 40_000).astype("<u2")
+    data = wavelet.WaveletMatrix.build(ids).to_bytes([1], np.array([len(ids)]))
+    read = []
+    m = wavelet.Shard(lambda offset, n: read.append(n) or data[offset : offset + n]).matrix()
+    assert m.access([1_234_567]).tolist() == [ids[1_234_567]]
+    # a block for each level, besides the header, the directory and the alphabet
+    assert sum(read) < 0.15 * len(data) and len(read) <= m.levels + 6
+    at = np.flatnonzero(ids == 17)
+    assert m.count(17, 1000, 2000) == (ids[1000:2000] == 17).sum() and m.occurrences(17, int(at[5]), int(at[5]) + 1).tolist() == [at[5]]
+
+
+def test_shards_and_flat_files(spark, odd_docs, no_docs, monkeypatch):
     tok = Tokenizer.from_file(encoding.default_path())  # the library's default: special strings become special tokens
     docs = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string"))
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
@@ -238,6 +253,13 @@ def test_shards_and_flat_files(spark, odd_docs, no_docs):
     for got in (small, wavelet.shards_query(docs)):
         assert [tuple(r) for r in got.orderBy("start").collect()] == want
     assert wavelet.shards_query(no_docs).count() == 0
+    listed = wavelet.write_shards(docs, shard_tokens=50)
+    asked = [ids[-1][0], 2, 65535]
+    assert {r.token: r.n for r in wavelet.count_tokens(listed, asked).collect()} == {t: sum(x.count(t) for x in ids) for t in asked}
+    found = sorted((-1 if r.doc_id is None else r.doc_id, r["at"]) for r in wavelet.find_token(listed, asked[0]).collect())
+    assert found == sorted((-1 if i is None else i, k) for (i, _), x in zip(rows, ids) for k, t in enumerate(x) if t == asked[0])
+    monkeypatch.setattr(wavelet, "GROUP_PARTS", 1)  # starts over many groups of partitions
+    assert [tuple(r) for r in wavelet.read_shards(listed).orderBy("start").collect()] == want
     tok.encode_special_tokens = True  # nothing but its own end may end a document of a flat file
     ids = [[*e.ids, 2] for e in tok.encode_batch([t or "" for _, t in rows], add_special_tokens=False)]
     want_n = sorted((-1 if i is None else i, len(x) - 1) for (i, _), x in zip(rows, ids))
