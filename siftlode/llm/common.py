@@ -23,11 +23,13 @@ WHITESPACE_CLASS = r"[\x20\x09-\x0D]"
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder (URI, not yet created) in the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only where that setting is unset (tests, a single machine) a local temporary folder takes its place;
-    it is removed at exit.
+    Only where that setting is unset and the master is this machine (tests) a local temporary folder takes its place; it
+    is removed at exit.  On a cluster executors could not see each other's local folders, so that raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _local_base()
     return f"{base.rstrip('/')}/siftlode/{name}-{uuid.uuid4().hex}"
 
@@ -47,11 +49,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark, schema = df.sparkSession, df.schema
     path = scratch(spark, name)
     df.write.parquet(path)
-    del df
-    # Spark removes the shuffle files of plans that nothing refers to any more when the driver's garbage is collected
+    return spark.read.schema(schema).parquet(path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more, which it does when the driver's garbage
+    is collected.  Called once or twice by operators whose shuffles are several times their input."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -70,6 +75,25 @@ def partitions_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bytes_each))
 
 
+class Carried:
+    """A table whose columns are called u0, u1, ... while an operator adds its own, so that no two names clash.
+
+    ``columns`` gives them back under their names and with their values, but for those that results replace.
+    """
+
+    def __init__(self, table: DataFrame):
+        self.names = table.columns
+        self.table = table.toDF(*[f"u{i}" for i in range(len(self.names))])
+
+    def __getitem__(self, name: str) -> Column:
+        exact = [i for i, n in enumerate(self.names) if n == name]
+        i = (exact or [i for i, n in enumerate(self.names) if n.lower() == name.lower()])[0]
+        return F.col(f"u{i}")
+
+    def columns(self, replaced: tuple[str, ...] = ()) -> list[Column]:
+        return [F.col(f"u{i}").alias(n) for i, n in enumerate(self.names) if n.lower() not in replaced]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, also where ``body`` uses it inside lambda functions."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -13,7 +13,7 @@ match in one alignment, consistent or verbatim.  DataFrame functions only.
 Defined results: null or empty texts have no windows; rows of equal id and text are one document; null ids are judged
 by their text and reported as null; repeated benchmark items with one id are alternatives pooled under it, null item
 ids are ignored; an item without tokens finds nothing; empty tables give empty results; extra columns pass
-through :func:`decontaminate` unchanged, but for the reserved name ``_key``.
+through :func:`decontaminate` unchanged, whatever they are called.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.llm.common import let
+from siftlode.llm.common import Carried, let
 
 WINDOW = 8
 MIN_LITERAL = 4
@@ -143,8 +143,8 @@ def _bare(token: Column) -> Column:
     return F.lower(F.regexp_extract(token, r"[\p{L}0-9].*$", 0))
 
 
-def _key(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+def _key(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id, text)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, window: int = WINDOW, run: int = RUN) -> DataFrame:
@@ -158,7 +158,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     lengths = sorted(r[0] for r in index.select("length").distinct().collect())  # at most ``window`` numbers
     if not lengths:
         lengths = [window]
-    own = _key(docs.select("doc_id", "text")).select("_key", "doc_id", tokens(F.col("text")).alias("raw"))
+    own = docs.select(_key(F.col("doc_id"), F.col("text")).alias("_key"), "doc_id", tokens(F.col("text")).alias("raw"))
     own = own.withColumn("wins", let(_forms(F.col("raw")), lambda f: F.concat(*[_windows(f, n, MIN_LITERAL) for n in lengths])))
     each = own.select("_key", "doc_id", "raw", F.explode_outer("wins").alias("win")).select("_key", "doc_id", "raw", "win.at", "win.hash", "win.length", "win.plain")
     side = index.select("item_id", "b_at", "kind", "hash", "n", "n_blind", "n_all", "w", "values", F.col("length").alias("b_length"))
@@ -208,8 +208,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated ones."""
-    bad = contaminated(docs, benchmark).select("_key").distinct()
-    return _key(docs).join(bad, "_key", "left_anti").drop("_key")
+    bad = contaminated(docs.select("doc_id", "text"), benchmark).select("_key").distinct()
+    own = Carried(docs)
+    return own.table.withColumn("_key", _key(own["doc_id"], own["text"])).join(bad, "_key", "left_anti").select(*own.columns())
 
 
 def leaks_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.llm.common import materialise, partitions_for
+from siftlode.llm.common import Carried, free_shuffles, materialise, partitions_for
 from siftlode.llm.components import connected_components
 from siftlode.llm.encoding import forget, plain
 from siftlode.llm.packing import ascending, back, pack, release, small, unpack
@@ -408,6 +408,7 @@ def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataF
     reps = real.groupBy("sid").agg(F.min("row").alias("row"), F.first("n").alias("n"))
 
     members = materialise(_members(docs, size, scheme), "members")
+    free_shuffles(docs.sparkSession)
     sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("count"))
     sized = members.join(sizes, "cell")
     lists = sized.where(F.col("count") <= LIST_MEMBERS).groupBy("cell").agg(F.sort_array(F.collect_list("sid")).alias("sids"))
@@ -421,6 +422,7 @@ def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataF
 
     near = connected_components(_forests(_in_blocks(loaded, "key", "blocks"), by_bounds), "near").select(F.col("node").alias("sid"), F.col("root").alias("key"))
     near = materialise(near, "near-sets")
+    free_shuffles(docs.sparkSession)
 
     # the sets of what is left, from the texts themselves
     wanted = near.join(reps, "sid")
@@ -454,10 +456,18 @@ def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataF
 
 
 def deduplicate(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one row of each component; rows without words all stay, but fully equal rows (id and text) are one."""
-    keep = join(docs.select("doc_id", "text"), size, num, den).where("keeper").select("row").distinct()
-    marked = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    return marked.join(keep.withColumnRenamed("row", "_row"), "_row").dropDuplicates(["_row"]).select(*docs.columns)
+    """``docs`` with one row of each component, as it was; rows without words all stay.
+
+    Rows of equal id and text are one: that whose other columns have the smallest hash (maps do not count) stays.
+    """
+    keep = join(docs.select("doc_id", "text"), size, num, den).where("keeper").select(F.col("row").alias("_row")).distinct()
+    own = Carried(docs)
+    others = [F.col(f.name) for f in own.table.schema if "map<" not in f.dataType.simpleString()]
+    marked = own.table.withColumn("_row", F.xxhash64(own["doc_id"], own["text"])).join(keep, "_row")
+    # rows whose 64-bit hash alone is equal are told apart by a second one
+    marked = marked.withColumns({"_again": F.xxhash64(F.lit(1), own["text"], own["doc_id"]), "_tie": F.xxhash64(*others)})
+    one = marked.groupBy("_row", "_again").agg(F.min_by(F.struct(*own.table.columns), "_tie").alias("_one"))
+    return one.select("_one.*").select(*own.columns())
 
 
 def join_query(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ fixed threshold and no counting rule fails.  DataFrame functions only.
 
 Defined results: null or empty text has no words, all counts 0, a null score and is rejected by the base rules;
 null ids are judged like any other row; repeated rows are judged alike; an empty table gives an empty result; other
-columns of the input pass through :func:`judge` unless they bear the name of a result column, which is replaced.
+columns of the input pass through :func:`judge` unless they bear the name of a result column, which is replaced;
+:func:`keep` gives the rows it keeps as they were, whatever their columns are called.
 Without any trusted document both multinomials would say nothing, so every score is 0 and only base rules reject.
 """
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.llm.common import WHITESPACE, let, materialise, words
+from siftlode.llm.common import WHITESPACE, Carried, let, materialise, words
 
 #: Hash buckets of the two multinomials: bounds what is broadcast to this many doubles.  Junk words are all distinct, so with few
 #: buckets they share those of clean words and score like them.
@@ -121,7 +122,8 @@ def log_ratios(hashed: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
     return packed.select(F.when(F.col("nt") == 0, F.transform("c", lambda x: F.lit(0.0))).otherwise(ratio).alias("ratios"))
 
 
-_RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept", "_c", "ratios")
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_RESULTS = (*_COUNTS, "base_failed", "llr", "kept")
 
 
 def _verdicts(counted: DataFrame, ratios: DataFrame, columns: list[str], threshold: float, buckets: int) -> DataFrame:
@@ -131,7 +133,7 @@ def _verdicts(counted: DataFrame, ratios: DataFrame, columns: list[str], thresho
         F.struct(F.col("_c.hashed").alias("h"), F.col("ratios").alias("r")),
         lambda x: ratio_sum(x["h"], x["r"], buckets) / F.when(F.size(x["h"]) > 0, 2 * F.size(x["h"]) - 1),
     )
-    counts = [F.col(f"_c.{c}").alias(c) for c in _RESULTS[:5]]
+    counts = [F.col(f"_c.{c}").alias(c) for c in _COUNTS]
     kept = scored.select(*columns, *counts, F.round(total, 6).alias("llr"))
     kept = kept.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     # one comparison: a conjunct on the counts alone would be pushed below and count every text once more
@@ -139,14 +141,24 @@ def _verdicts(counted: DataFrame, ratios: DataFrame, columns: list[str], thresho
     return kept.withColumn("kept", F.coalesce(judged >= threshold, F.lit(False)))
 
 
+def _judged(own: Carried, docs: DataFrame, trusted: DataFrame, threshold: float, buckets: int) -> DataFrame:
+    hashed = docs.select("doc_id", let(words(F.lower("text")), hashes).alias("hashed"))
+    return _verdicts(own.table.withColumn("_c", _counted(own["text"])), log_ratios(hashed, trusted, buckets), own.table.columns, threshold, buckets)
+
+
 def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """``docs`` with the counts, ``base_failed``, ``llr`` (nats per n-gram, 6 places) and ``kept`` of every row.
 
     Reads the texts twice, for the corpus and for the scores, and writes nothing.
     """
-    plain = docs.drop(*_RESULTS)
-    hashed = docs.select("doc_id", let(words(F.lower("text")), hashes).alias("hashed"))
-    return _verdicts(plain.withColumn("_c", _counted(F.col("text"))), log_ratios(hashed, trusted, buckets), plain.columns, threshold, buckets)
+    own = Carried(docs)
+    return _judged(own, docs, trusted, threshold, buckets).select(*own.columns(replaced=_RESULTS), *_RESULTS)
+
+
+def keep(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of ``docs`` that neither the counting rules nor the ratio reject."""
+    own = Carried(docs)
+    return _judged(own, docs, trusted, threshold, buckets).where("kept").select(*own.columns())
 
 
 def verdicts(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
