@@ -15,7 +15,7 @@ from siftlode.llm.common import materialise
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the counting rules and the n-gram ratio keep; ratios are against what comes in."""
     trusted = quality.trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.judge(docs, trusted).where("kept").select(*docs.columns)
+    return quality.keep(docs, trusted)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
