@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from siftlode.llm.common import Carried, free_shuffles, materialise, partitions_for
 from siftlode.llm.components import connected_components
 from siftlode.llm.encoding import forget, plain
-from siftlode.llm.packing import ascending, back, pack, release, small, unpack
+from siftlode.llm.packing import ascending, back, by_bucket, pack, release, small, unpack
 
 #: Least and most hash groups of a count vector; in between a set of n shingles has about n / 4 groups, a power of two,
 #: since fewer cannot part long unrelated texts.  A longer vector folds into a shorter one.
@@ -346,7 +346,7 @@ def _members(docs: DataFrame, size: int, scheme: Scheme) -> DataFrame:
         if sids:
             yield rows()
 
-    def gather(key: tuple, packed: pd.DataFrame) -> pd.DataFrame:
+    def gather(bucket: int, packed: pd.DataFrame) -> pd.DataFrame:
         parts = [unpack(x) for x in packed["data"]]
         cells = np.concatenate([back(p["cells"]) for p in parts])
         sids = np.concatenate([p["sids"][p["owner"]] for p in parts])
@@ -362,7 +362,7 @@ def _members(docs: DataFrame, size: int, scheme: Scheme) -> DataFrame:
         release()
         return out
 
-    return docs.select("text").mapInArrow(scatter, "bucket int, data binary").groupBy("bucket").applyInPandas(gather, "cell long, sid long")
+    return by_bucket(docs.select("text").mapInArrow(scatter, "bucket int, data binary"), buckets, gather, "cell long, sid long")
 
 
 def _forests(tasks: DataFrame, solve: Callable[[list, list], list[tuple[int, int]]]) -> DataFrame:

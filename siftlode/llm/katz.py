@@ -9,10 +9,12 @@ training, else by the history's weight times its unigram probability.
 The model is a table partitioned by a hash of the history: history counts, the bigrams with their counts, and which
 words they lead to.  Tokens travel as packed arrays, sorted and combined per block of documents: a block's bigrams go to
 the partition of their history, which counts them and adds up what each document's tokens contribute.  Histories that a
-bounded sample shows to be very frequent are dealt out by the following word too; their few totals are combined after.
-Counts of the words that follow (needed for the weights) are asked from their own partition, once per partition.
-What is known about a
-block's documents travels packed too and is added up per block.  Words are told apart by 64-bit hashes.
+sample shows to be very frequent are dealt out by the following word too; their few totals are combined after.  Bigrams
+that it shows to be very frequent do not travel at all: their block counts them, and scores them when their totals are
+known.  Counts of the words that follow (needed for the weights) are asked from groups of words, once per partition;
+there are about as many groups as the root of the number of partitions.  What is known about a block's documents travels
+packed too and is added up per block.  All totals are summed by Spark; the driver gets those of frequent words and
+bigrams and a few dozen numbers.  Words are told apart by 64-bit hashes.
 
 Defined results: null or empty text is one end; null ids are hashed as the text ``null`` and reported as null; repeated
 rows are scored each; an empty table gives an empty result; without training documents every token has the unseen
@@ -30,17 +32,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.llm.common import partitions_for, scratch, words
+from siftlode.llm.common import let, partitions_for, scratch, words
 from siftlode.llm.encoding import forget, plain
-from siftlode.llm.packing import pack, release, small, unpack
+from siftlode.llm.packing import by_bucket, pack, release, small, unpack
 
 #: Counts up to this one are discounted.
 K = 5
-#: Documents of the sample that shows very frequent histories; it steers where rows go, never a result.
-SAMPLE_DOCS = 2_000
+#: The sample that shows very frequent histories and bigrams: documents, or a share where that is more.  It steers where
+#: rows go, never a result.
+SAMPLE_DOCS, SAMPLE_SHARE = 2_000, 0.0005
+#: Documents of the sample that a very frequent bigram stands in at least, and entries of both lists at most.
+HOT_DOCS, HOT_LIST = 8, 1 << 20
 #: Documents packed together before their bigrams leave a task.
 BLOCK_DOCS = 8_000
 BLOCK_TOKENS = 1_500_000
@@ -75,15 +80,49 @@ def discounts(n: list[int], k: int = K) -> np.ndarray:
     return np.array([1.0, *[(r - 0.5) / r for r in range(1, k + 1)]])
 
 
-def _hot_words(docs: DataFrame, buckets: int) -> np.ndarray:
-    """Hashes of words that make up over an eighth of a partition's share in a sample; at most 8 * buckets of them."""
-    share = SAMPLE_DOCS / max(docs.count(), SAMPLE_DOCS)
+class Hot:
+    """Very frequent words and bigrams; both words of such a bigram are such words."""
+
+    def __init__(self, words_: list[int], pairs: list[tuple[int, int]]):
+        inner = {w for p in pairs for w in p} - {int(_BEGIN), int(_END)}
+        self.words = np.sort(np.array(list({*words_, *inner, int(_BEGIN)}), "u8"))
+        h, w = np.array([p[0] for p in pairs], "u8"), np.array([p[1] for p in pairs], "u8")
+        order = np.argsort(self.code(h, w), kind="stable")
+        self.h, self.w = h[order], w[order]
+        self.codes = self.code(self.h, self.w)
+
+    @staticmethod
+    def code(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return (h * _U(0x9FB21C651E98DF25)) ^ w
+
+    def place(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The place of each bigram in the list, -1 for others."""
+        if not len(self.codes):
+            return np.full(len(h), -1, "i8")
+        at = np.minimum(np.searchsorted(self.codes, self.code(h, w)), len(self.codes) - 1)
+        return np.where((self.h[at] == h) & (self.w[at] == w), at, -1)
+
+
+def _hot(docs: DataFrame, buckets: int) -> Hot:
+    """Words and bigrams that make up over an eighth of a partition's share in a sample: at most 8 * buckets of each."""
+    n = docs.count()
+    share = max(SAMPLE_DOCS / max(n, SAMPLE_DOCS), SAMPLE_SHARE)
     sample = docs.select("text").sample(share, seed=1) if share < 1 else docs.select("text")
-    counts = sample.select(F.explode(words(F.lower("text"))).alias("w")).groupBy("w").count()
-    top = counts.orderBy(F.desc("count"), "w").limit(8 * buckets).collect()
-    total = sum(r["count"] for r in top)
-    hot = [r["w"] for r in top if r["count"] * 8 * buckets > total]
-    return np.sort(np.array([xxhash.xxh64_intdigest(w) for w in hot] + [int(_BEGIN)], "u8"))
+    split = words(F.lower("text"))
+    most = min(8 * buckets, HOT_LIST)
+
+    def frequent(items: Column, least: int) -> list:
+        counts = sample.select(F.explode(items).alias("w")).groupBy("w").count().persist()
+        total = counts.agg(F.sum("count")).first()[0] or 0
+        top = counts.where((F.col("count") >= least) & (F.col("count") * 8 * buckets > total)).orderBy(F.desc("count"), "w").limit(most).collect()
+        counts.unpersist()
+        return [r["w"] for r in top]
+
+    ends = F.array(F.lit("\t")), F.array(F.lit("\n"))  # no word has white space
+    joined = lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - 2), lambda i: F.concat_ws(" ", F.get(s, i), F.get(s, i + 1)))
+    pairs = F.array_distinct(let(F.concat(ends[0], split, ends[1]), joined))
+    of = lambda w: int(_BEGIN) if w == "\t" else int(_END) if w == "\n" else xxhash.xxh64_intdigest(w)
+    return Hot([of(w) for w in frequent(split, 1)], [tuple(map(of, p.split(" "))) for p in frequent(pairs, HOT_DOCS)])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
@@ -99,7 +138,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]
             at = stop
 
 
-def _scatter(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+def _scatter(docs: DataFrame, buckets: int, hot: Hot) -> DataFrame:
     """Rows (bucket, data): a block's bigrams of one partition; bucket -1 - k holds the documents of block k."""
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,15 +170,22 @@ def _scatter(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
             history[inner] = following[np.flatnonzero(inner) - 1]
             doc = np.repeat(np.arange(len(counts)), counts + 1).astype("u8")
             where = _spread(table, buckets)
-            is_hot = np.isin(table, hot)
+            is_hot = np.isin(table, hot.words)
+            place = np.full(len(history), -1, "i8")  # frequent bigrams stay with their block
+            maybe = np.flatnonzero(is_hot[history])
+            place[maybe] = hot.place(table[history[maybe]], table[following[maybe]])
+            here, others = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+            stay, stay_n = np.unique((place[here].astype("u8") << _U(13)) | doc[here], return_counts=True)
             bucket = where[history]
             mixed = np.flatnonzero(is_hot[history])
             bucket[mixed] = _spread(table[history[mixed]] * _U(31) + table[following[mixed]], buckets, 2)
             uid = (part << 40) + (serial << 20)
             serial += 1
             train = np.array([not held_out(i) for i in ids], bool)
-            out = [(-1 - (uid >> 20), pack(ids=np.array([0 if i is None else i for i in ids], "i8"), null=np.array([i is None for i in ids]), train=train, n=counts + 1))]
-            order = np.argsort(bucket, kind="stable")
+            null = np.array([i is None for i in ids])
+            known_docs = dict(ids=np.array([0 if i is None else i for i in ids], "i8"), null=null, train=train, n=counts + 1)
+            out = [(-1 - (uid >> 20), pack(**known_docs, hp=small(stay >> _U(13)), hd=small(stay & _U(8191)), hn=small(stay_n)))]
+            order = others[np.argsort(bucket[others], kind="stable")]
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             bits = max(1, int(len(table) - 1).bit_length())
             for b in range(buckets):
@@ -157,7 +203,7 @@ def _scatter(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                 step = np.diff(h, prepend=0)
                 out.append((b, pack(uid=np.array([uid]), hs=table[hs], ws=table[ws], step=small(step), w=small(w), d=small(d), n=small(n), train=np.packbits(train))))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], schema=schema)
-            del split, coded, names, known, at, owner, following, history, inner, doc, bucket, order, out
+            del split, coded, names, known, at, owner, following, history, inner, doc, bucket, place, here, others, order, out
             release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scatter, "bucket long, data binary")
@@ -177,13 +223,57 @@ def _by_block(blocks: np.ndarray, doc: np.ndarray, src: int, **values: np.ndarra
 _ROW = "kind string, bucket long, src long, data binary"
 
 
-def _count(scattered: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+def _stats(**sums: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """Keys and values of totals to be summed, by name."""
+    return pack(**{f"{name}.{part}": x for name, (k, v) in sums.items() for part, x in (("k", np.asarray(k, "u8")), ("v", np.asarray(v)))})
+
+
+def _summed(rows: DataFrame, kind: str) -> dict[str, dict[int, float]]:
+    """The totals of all rows' :func:`_stats`; numbers of Spark's type ``kind``."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sums: dict[str, list] = {}
+            for data in pdf["data"]:
+                x = unpack(data)
+                for name in {k[:-2] for k in x}:
+                    sums.setdefault(name, []).append((x[f"{name}.k"], x[f"{name}.v"]))
+            for name, parts in sums.items():
+                keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+                values = np.zeros(len(keys), "i8" if kind == "long" else "f8")
+                np.add.at(values, at, np.concatenate([v for _, v in parts]).astype(values.dtype))
+                yield pd.DataFrame({"what": name, "key": keys.view("i8"), "value": values})
+
+    out: dict[str, dict[int, float]] = {}
+    totals = rows.select("data").mapInPandas(part, f"what string, key long, value {kind}").groupBy("what", "key").agg(F.sum("value").alias("value"))
+    for r in totals.collect():  # frequent words and bigrams, and a few dozen counts
+        out.setdefault(r["what"], {})[r["key"] & 0xFFFFFFFFFFFFFFFF] = r["value"]
+    return out
+
+
+def _groups(buckets: int) -> int:
+    """Groups of words that counts are asked from: rows of questions grow with the power 1.5 of the partitions."""
+    return max(1, min(buckets, int(2 * buckets**0.5)))
+
+
+def _block_place(block: Column) -> Column:
+    """A partition for a block's number, which holds a partition and a serial number."""
+    return F.shiftright(block, 20) + block.bitwiseAND(F.lit((1 << 20) - 1)) * 7919
+
+
+def _count(scattered: DataFrame, buckets: int, hot: Hot) -> DataFrame:
     """Rows (kind, bucket, src, data): the model's partitions and what they know of the documents."""
+    groups = _groups(buckets)
 
-    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        b = key[0]
+    def count(b: int, rows: pd.DataFrame) -> pd.DataFrame:
         if b < 0:
-            return pd.DataFrame([("docs", -1 - b, -1, x) for x in rows["data"]], columns=["kind", "bucket", "src", "data"])
+            out = []
+            for data in rows["data"]:
+                x = unpack(data)
+                trained = x["train"][x["hd"]]
+                stats = _stats(train=([0], [int(x["train"].sum())]), pair=(x["hp"], np.where(trained, x["hn"].astype("i8"), 0)))
+                out += [("docs", -1 - b, -1, data), ("stats", -1 - b, -1, stats)]
+            return pd.DataFrame(out, columns=["kind", "bucket", "src", "data"])
         parts = [unpack(x) for x in rows["data"]]
         sizes = np.array([len(p["w"]) for p in parts])
         words_, at = np.unique(np.concatenate([x for p in parts for x in (p["hs"], p["ws"])]), return_inverse=True)
@@ -206,7 +296,7 @@ def _count(scattered: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
         ph, pw = h[first], w[first]
         total = np.bincount(ph, weights=r, minlength=len(words_)).astype("i8")
         is_history = np.bincount(ph, minlength=len(words_)) > 0
-        is_hot = np.isin(words_, hot)
+        is_hot = np.isin(words_, hot.words)
         seen = r > 0
         rt = np.repeat(r, lengths).astype("u4")  # training count of each row's bigram
         # rows of histories that are counted here alone: what they add to their documents
@@ -227,19 +317,22 @@ def _count(scattered: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
         del a, base, known, m, own
         mine = np.flatnonzero(is_history & ~is_hot)
         uni = mine[words_[mine] != _BEGIN]
-        out.append(("uni", b, -1, pack(w=words_[uni], c=small(total[uni]))))
+        to = _spread(words_[uni], groups)
+        for t in np.unique(to):
+            own = uni[to == t]
+            out.append(("uni", int(t), b, pack(w=words_[own], c=small(total[own]))))
         # which words' counts are needed: those seen after a history here, and those of unseen bigrams
         need = np.zeros(len(words_), bool)
         need[pw] = True
         need &= ~(words_ == _END)
         asked = np.flatnonzero(need & ~is_hot)
-        target = _spread(words_[asked], buckets)
+        target = _spread(words_[asked], groups)
         asked = asked[np.argsort(target, kind="stable")]
         target = np.sort(target)
         place = np.full(len(words_), -1, "i8")  # of each word in the answers; below -1: hot words and the end, by value
         place[asked] = np.arange(len(asked))
-        cut = np.searchsorted(target, np.arange(buckets + 1))
-        for t in range(buckets):
+        cut = np.searchsorted(target, np.arange(groups + 1))
+        for t in range(groups):
             if cut[t] < cut[t + 1]:
                 out.append(("ask", t, b, pack(w=words_[asked[cut[t] : cut[t + 1]]])))
         special = np.flatnonzero((need & is_hot) | (words_ == _END))
@@ -267,37 +360,45 @@ def _count(scattered: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
             seen_n, new_n = tally(np.where(rt[hh] > 0, n[hh], 0)), tally(np.where(rt[hh] == 0, n[hh], 0))
             out += [("hotdoc", *x) for x in _by_block(blocks, (code >> _U(32)).astype("i8"), b, h=words_[code & _U(0xFFFFFFFF)], seen=seen_n, new=new_n)]
         hw = np.flatnonzero(is_history & is_hot)
-        stats = {"tokens": np.array([total[uni].sum()])}
-        # counts of counts up to K + 1, exactly
-        stats["pairs"] = np.array([int((r == k).sum()) for k in range(K + 2)])
-        stats["unis"] = np.array([int((total[uni] == k).sum()) for k in range(K + 2)])
-        stats["types"] = np.array([int((total[uni] > 0).sum())])
-        out.append(("stats", b, -1, pack(**stats, hot=words_[hw], hot_c=total[hw], hot_low=low[hw])))
+        ranks = np.arange(K + 2)  # counts of counts up to K + 1, exactly
+        stats = _stats(
+            tokens=([0], [total[uni].sum()]),
+            types=([0], [int((total[uni] > 0).sum())]),
+            pairs=(ranks, [int((r == k).sum()) for k in ranks]),
+            unis=(ranks, [int((total[uni] == k).sum()) for k in ranks]),
+            hot=(words_[hw], total[hw]),
+            low=(words_[hw], low[hw].astype("i8")),
+        )
+        out.append(("stats", b, -1, stats))
         del h, w, n, doc, rt
         release()
         return pd.DataFrame(out, columns=["kind", "bucket", "src", "data"])
 
-    return scattered.groupBy("bucket").applyInPandas(count, _ROW)
+    b = F.col("bucket")
+    return by_bucket(scattered, buckets, count, _ROW, F.when(b >= 0, b).otherwise(_block_place(-1 - b)))
 
 
 class Totals:
-    """What all partitions share: sizes, discounts, and the counts of hot words; a few thousand numbers."""
-
-    def __init__(self, stats: list[dict[str, np.ndarray]], docs: int):
-        hot: dict[int, int] = {}
-        self.low: set[int] = set()
-        for s in stats:
-            for w, c, low in zip(s["hot"].tolist(), s["hot_c"].tolist(), s["hot_low"].tolist(), strict=True):
-                hot[w] = hot.get(w, 0) + c
-                if low:
-                    self.low.add(w)
+    """What all partitions share: sizes, discounts, and the counts of frequent words and bigrams."""
+
+    def __init__(self, sums: dict[str, dict[int, int]], pairs: Hot):
+        of = lambda name, key=0: sums.get(name, {}).get(key, 0)
+        docs = of("train")
+        self.pair_r = np.array([of("pair", k) for k in range(len(pairs.h))], "i8")
+        hot = dict(sums.get("hot", {}))
+        self.low = {w for w, n in sums.get("low", {}).items() if n > 0}
+        for h, r in zip(pairs.h.tolist(), self.pair_r.tolist(), strict=True):
+            hot[h] = hot.get(h, 0) + r
+            if 1 <= r <= K:
+                self.low.add(h)
         self.hot = hot
         counts = [c for w, c in hot.items() if w != int(_BEGIN) and c > 0]
         self.end = docs
-        self.tokens = sum(int(s["tokens"][0]) for s in stats) + sum(counts) + docs
-        self.types = sum(int(s["types"][0]) for s in stats) + len(counts) + (docs > 0)
-        unis = [sum(int(s["unis"][r]) for s in stats) + sum(c == r for c in counts) + (docs == r) for r in range(K + 2)]
-        self.d2 = discounts([sum(int(s["pairs"][r]) for s in stats) for r in range(K + 2)])
+        self.tokens = of("tokens") + sum(counts) + docs
+        self.types = of("types") + len(counts) + (docs > 0)
+        unis = [of("unis", r) + sum(c == r for c in counts) + (docs == r) for r in range(K + 2)]
+        twos = [of("pairs", r) + int((self.pair_r == r).sum()) for r in range(K + 2)]
+        self.d2 = discounts(twos)
         self.d1 = discounts(unis)
         freed = sum(unis[r] * r * (1 - self.d1[r]) for r in range(1, K + 1))
         self.norm = self.tokens if freed > 0 else self.tokens + 1  # nothing freed: one more leaves mass for unseen words
@@ -318,32 +419,34 @@ class Totals:
         return self.end if w == int(_END) else self.hot.get(w, 0)
 
 
-def _answer(asked: DataFrame) -> DataFrame:
-    """For each question (bucket, src) the training counts of its words, addressed to who asked."""
+def _answer(asked: DataFrame, buckets: int) -> DataFrame:
+    """For each question (group, src) the training counts of its words, addressed to who asked."""
 
-    def answer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def answer(group: int, rows: pd.DataFrame) -> pd.DataFrame:
         own = [unpack(x) for x in rows["data"][rows["kind"] == "uni"]]
         w = np.concatenate([np.zeros(0, "u8"), *[x["w"] for x in own]])
         c = np.concatenate([np.zeros(0, "i8"), *[x["c"].astype("i8") for x in own]])
+        order = np.argsort(w, kind="stable")
+        w, c = w[order], c[order]
         out = []
-        for src, data in zip(rows["src"], rows["data"], strict=True):
-            if src >= 0:
+        for kind, src, data in zip(rows["kind"], rows["src"], rows["data"], strict=True):
+            if kind == "ask":
                 q = unpack(data)["w"]
                 at = np.minimum(np.searchsorted(w, q), max(len(w) - 1, 0))
                 found = np.where(w[at] == q, c[at], 0) if len(w) else np.zeros(len(q), "i8")
-                out.append(("told", src, key[0], pack(c=small(found))))
+                out.append(("told", src, group, pack(c=small(found))))
         return pd.DataFrame(out, columns=["kind", "bucket", "src", "data"])
 
-    return asked.groupBy("bucket").applyInPandas(answer, _ROW)
+    return by_bucket(asked, _groups(buckets), answer, _ROW)
 
 
-def _weigh(rows: DataFrame, totals: Totals) -> DataFrame:
+def _weigh(rows: DataFrame, buckets: int, totals: Totals) -> DataFrame:
     """Back-off weights of a partition's histories and what unseen bigrams add to documents.
 
     Rows (kind, bucket, src, data): ``more`` (by block: document, a) and ``weights`` (parts of hot histories' sums).
     """
 
-    def weigh(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+    def weigh(bucket: int, own: pd.DataFrame) -> pd.DataFrame:
         m = unpack(own["data"][own["kind"] == "model"].iloc[0])
         told = own[own["kind"] == "told"].sort_values("src")
         counts = np.concatenate([np.zeros(0, "i8"), *[unpack(x)["c"].astype("i8") for x in told["data"]]])
@@ -358,12 +461,12 @@ def _weigh(rows: DataFrame, totals: Totals) -> DataFrame:
         nh, hot = m["nh"].astype("i8"), m["hot"]
         extra = (np.where(hot[nh], 0.0, np.log10(alpha[nh])) + np.log10(at(m["nw"]))) * m["nn"]
         doc, inv = np.unique(m["nd"].astype("i8"), return_inverse=True)
-        out = [("more", *x) for x in _by_block(m["blocks"], doc, key[0], a=np.bincount(inv, weights=extra, minlength=len(doc)))]
+        out = [("more", *x) for x in _by_block(m["blocks"], doc, bucket, a=np.bincount(inv, weights=extra, minlength=len(doc)))]
         if hot.any():
-            out.append(("weights", key[0], -1, pack(h=m["h"][hot], mass=mass[hot], cover=cover[hot])))
+            out.append(("weights", bucket, -1, _stats(mass=(m["h"][hot], mass[hot]), cover=(m["h"][hot], cover[hot]))))
         return pd.DataFrame(out, columns=["kind", "bucket", "src", "data"])
 
-    return rows.groupBy("bucket").applyInPandas(weigh, _ROW)
+    return by_bucket(rows, buckets, weigh, _ROW)
 
 
 def back_off(c: np.ndarray, low: np.ndarray, mass: np.ndarray, cover: np.ndarray) -> np.ndarray:
@@ -373,16 +476,39 @@ def back_off(c: np.ndarray, low: np.ndarray, mass: np.ndarray, cover: np.ndarray
     return np.where(c > 0, left / np.maximum(1 - cover, 1e-300), 1.0)
 
 
-def _finish(rows: DataFrame, totals: Totals, hot: dict[str, np.ndarray]) -> DataFrame:
+class Frequent:
+    """What a token adds whose history is a frequent word, by the history (``h``), and what a frequent bigram adds, by its place."""
+
+    def __init__(self, totals: Totals, hot: Hot, parts: dict[str, dict[int, float]]):
+        mass, cover = dict(parts.get("mass", {})), dict(parts.get("cover", {}))
+        p = totals.unigram(np.array([totals.of(w) for w in hot.w.tolist()], "i8"))
+        kept = totals.kept(totals.pair_r)
+        for h, r, k, q in zip(hot.h.tolist(), totals.pair_r.tolist(), kept.tolist(), p.tolist(), strict=True):
+            mass[h] = mass.get(h, 0.0) + k
+            cover[h] = cover.get(h, 0.0) + (q if r > 0 else 0.0)
+        self.h = np.array(sorted(mass), "u8")
+        names = self.h.tolist()
+        c = np.array([totals.hot.get(h, 0) for h in names], "f8")
+        low, word = np.array([h in totals.low for h in names], bool), np.array([h != int(_BEGIN) for h in names], bool)
+        self.size = np.log10(np.maximum(c + np.where((c > 0) & ~low, 1, 0), 1))
+        self.alpha = np.log10(back_off(c, low, np.array([mass[h] for h in names]), np.array([cover[h] for h in names])))
+        self.plain, self.known = np.where(word, np.log10(c + 1), 0.0), (word & (c > 0)).astype("f8")
+        at = np.searchsorted(self.h, hot.h)
+        self.pair_a = np.where(totals.pair_r > 0, np.log10(np.maximum(kept, 1e-300)) - self.size[at], self.alpha[at] + np.log10(p))
+        self.pair_plain, self.pair_known = self.plain[at], self.known[at]
+
+
+def _finish(rows: DataFrame, buckets: int, totals: Totals, hot: Frequent) -> DataFrame:
     """The scores of every block's documents from all that is known about them, one block at a time."""
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     logs = np.log10(totals.d2[1:])
     share, end = float(np.log10(totals.tokens + totals.types + 1)), float(np.log10(totals.end + 1))
+    all_tokens, ended = totals.tokens, int(totals.end > 0)
 
-    def finish(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+    def finish(block: int, own: pd.DataFrame) -> pd.DataFrame:
         docs = unpack(own["data"][own["kind"] == "docs"].iloc[0])
         n = docs["n"].astype("i8")
-        a, base, known = np.zeros(len(n)), np.zeros(len(n)), np.full(len(n), int(totals.end > 0))
+        a, base, known = np.zeros(len(n)), np.zeros(len(n)), np.full(len(n), ended)
         own = own.sort_values(["kind", "src"])  # sums in one order, whatever order rows arrive in
         for kind, data in zip(own["kind"], own["data"], strict=True):
             if kind == "docs":
@@ -396,19 +522,25 @@ def _finish(rows: DataFrame, totals: Totals, hot: dict[str, np.ndarray]) -> Data
             elif kind == "more":
                 a[d] += x["a"]
             else:
-                at = np.searchsorted(hot["h"], x["h"])
+                at = np.searchsorted(hot.h, x["h"])
                 seen, new = x["seen"].astype("f8"), x["new"].astype("f8")
                 add = lambda v: np.bincount(d, weights=v, minlength=len(n))  # noqa: B023, E731
-                a += add(new * hot["alpha"][at] - seen * hot["size"][at])
-                base += add((seen + new) * hot["plain"][at])
-                known += add((seen + new) * hot["known"][at]).astype("i8")
+                a += add(new * hot.alpha[at] - seen * hot.size[at])
+                base += add((seen + new) * hot.plain[at])
+                known += add((seen + new) * hot.known[at]).astype("i8")
+        at, d, times = docs["hp"], docs["hd"].astype("i8"), docs["hn"].astype("f8")
+        if len(at):
+            add = lambda v: np.bincount(d, weights=v, minlength=len(n))
+            a += add(times * hot.pair_a[at])
+            base += add(times * hot.pair_plain[at])
+            known += add(times * hot.pair_known[at]).astype("i8")
         ids = pd.array(docs["ids"], "Int64")
         ids[docs["null"]] = pd.NA
         return pd.DataFrame(
-            {"doc_id": ids, "held_out": ~docs["train"], "n_tokens": n, "n_known": known, "train_tokens": totals.tokens, "base_score": base + end - n * share, "score": a}
+            {"doc_id": ids, "held_out": ~docs["train"], "n_tokens": n, "n_known": known, "train_tokens": all_tokens, "base_score": base + end - n * share, "score": a}
         )
 
-    return rows.groupBy("bucket").applyInPandas(finish, schema)
+    return by_bucket(rows, buckets, finish, schema, _block_place(F.col("bucket")))
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -416,35 +548,16 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     own = docs.select("doc_id", "text")
     buckets = partitions_for(own, PARTITION_BYTES)
-    hot = _hot_words(own, buckets)
+    hot = _hot(own, buckets)
     path = scratch(spark, "katz-model")
     _count(_scatter(own, buckets, hot), buckets, hot).write.partitionBy("kind").parquet(path)
     schema = "bucket long, src long, data binary, kind string"
     model = spark.read.schema(schema).parquet(path).select("kind", "bucket", "src", "data")
     kind = lambda *k: model.where(F.col("kind").isin(*k))
-
-    trained = F.udf(lambda data: int(unpack(data)["train"].sum()), "long")
-    train_docs = kind("docs").agg(F.sum(trained("data"))).first()[0] or 0
-    totals = Totals([unpack(r["data"]) for r in kind("stats").select("data").collect()], train_docs)  # a few thousand numbers a partition at most
+    totals = Totals(_summed(kind("stats"), "long"), hot)
 
     weighed = scratch(spark, "katz-weights")
-    _weigh(_answer(kind("uni", "ask")).union(kind("model")), totals).write.partitionBy("kind").parquet(weighed)
-    back = spark.read.schema(schema).parquet(weighed)
-    hot_mass: dict[int, list[float]] = {}
-    for row in back.where("kind = 'weights'").select("data").collect():  # hot histories only: at most 8 a partition
-        x = unpack(row["data"])
-        for h, mass, cover in zip(x["h"].tolist(), x["mass"].tolist(), x["cover"].tolist(), strict=True):
-            s = hot_mass.setdefault(h, [0.0, 0.0])
-            s[0], s[1] = s[0] + mass, s[1] + cover
-    table: dict[str, list] = {"h": [], "size": [], "alpha": [], "plain": [], "known": []}
-    for h, (mass, cover) in sorted(hot_mass.items()):
-        c = np.array([totals.hot.get(h, 0)], "f8")
-        low = np.array([h in totals.low])
-        word = h != int(_BEGIN)
-        table["h"].append(h)
-        table["size"].append(np.log10(max(float(c[0]) + (1 if c[0] > 0 and not low[0] else 0), 1)))
-        table["alpha"].append(np.log10(float(back_off(c, low, np.array([mass]), np.array([cover]))[0])))
-        table["plain"].append(np.log10(c[0] + 1) if word else 0.0)
-        table["known"].append(int(word and c[0] > 0))
-    known_hot = {k: np.array(v, "u8" if k == "h" else "f8") for k, v in table.items()}
-    return _finish(kind("docs", "partial", "hotdoc").union(back.where("kind = 'more'").select("kind", "bucket", "src", "data")), totals, known_hot)
+    _weigh(_answer(kind("uni", "ask"), buckets).union(kind("model")), buckets, totals).write.partitionBy("kind").parquet(weighed)
+    back = spark.read.schema(schema).parquet(weighed).select("kind", "bucket", "src", "data")
+    frequent = Frequent(totals, hot, _summed(back.where("kind = 'weights'"), "double"))
+    return _finish(kind("docs", "partial", "hotdoc").union(back.where("kind = 'more'")), buckets, totals, frequent)

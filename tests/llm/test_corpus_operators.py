@@ -200,11 +200,27 @@ def zipf_corpus(n, seed):
     return [(i, " ".join(f"w{min(int(rng.paretovariate(0.7)), 500)}" for _ in range(rng.randrange(0, 60)))) for i in range(n)]
 
 
-@pytest.mark.parametrize("partition_bytes", [1 << 30, 20_000])
+@pytest.mark.parametrize("partition_bytes", [1 << 30, 1_500])
 def test_katz_equals_brute_force(spark, monkeypatch, partition_bytes):
     monkeypatch.setattr(katz, "PARTITION_BYTES", partition_bytes)  # few or many partitions and frequent histories
-    rows = zipf_corpus(300, 1) + [(1000 + i, "the the the of the") for i in range(40)]
+    rows = zipf_corpus(300, 1) + [(1000 + i, "the the the of the") for i in range(40)] + [(2000 + i, f"once{i // 3} again{i // 3} only held{i}") for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    if partition_bytes < 1 << 30:
+        hot = katz._hot(docs, katz.partitions_for(docs, partition_bytes))
+        assert len(hot.words) > 10 and len(hot.h) > 3  # both kinds of frequent things are met
+    same_scores([tuple(r) for r in katz.score(docs).collect()], brute_katz(rows))
+
+
+def test_katz_with_every_bigram_frequent(spark, monkeypatch):
+    """Bigrams seen never, seldom and often in training, all kept with their blocks; most histories have no others."""
+    rows = zipf_corpus(120, 4) + [(1000 + i, "") for i in range(5)] + [(5000 + i, f"rare{i}") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(katz, "HOT_DOCS", 1)
+    monkeypatch.setattr(katz, "partitions_for", lambda d, b: 4000)
+    hot = katz._hot(docs, 4000)
+    assert len(hot.h) > 500
+    monkeypatch.setattr(katz, "_hot", lambda d, b: hot)
+    monkeypatch.setattr(katz, "partitions_for", lambda d, b: 5)
     same_scores([tuple(r) for r in katz.score(docs).collect()], brute_katz(rows))
 
 
