@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -22,7 +23,7 @@ CONFIG_EXTENSIONS = (".json", ".toml", ".yaml", ".yml")
 CONFIG_NAMES = ("config", "settings")
 COMMAND_EXTENSIONS = (".sh", ".ps1", ".psm1", ".bat")
 CODE_EXTENSIONS = (".py", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".rs", ".go", ".java", ".kt", ".cs", ".cpp", ".c", ".h", ".hpp")
-#: What a symbol looks like in each group of languages, tried in order; fixed values.
+#: What a symbol looks like in each group of languages, tried in order; fixed values, as the index stores what they find.
 SYMBOLS = (
     (("python",), r"\b(?:async\s+def|def|class)\s+([A-Za-z_][A-Za-z0-9_]*)"),
     (("javascript", "typescript"), r"\b(?:function|class)\s+([A-Za-z_$][A-Za-z0-9_$]*)"),
@@ -33,6 +34,11 @@ SYMBOLS = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lstrip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+", "")
 
