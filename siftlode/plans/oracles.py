@@ -133,6 +133,11 @@ h AS (SELECT qid, path, source, CASE WHEN source = 'both' THEN 'high' ELSE 'medi
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CASE source WHEN 'both' THEN 0 WHEN 'semantic_only' THEN 1 ELSE 2 END, hybrid_score DESC, path)::INT AS rank FROM h) WHERE rank <= {K}"""
 
 
+_TREE = f"(SELECT source || '/' || doc_id || '/' || {_list(NAMES)}[(doc_id % {len(NAMES)}) + 1] AS path, strlen(text)::BIGINT AS size, text FROM documents)"
+_SKIPPED = f"""({_reason()} IS NOT NULL OR {_NAME} IN {_in(paths.NOISY_NAMES)} OR list_has_any(string_split(lower(path), '/'), {_list(paths.SKIPPED_FOLDERS)})
+  OR coalesce({_EXT} NOT IN {_in(paths.EXTENSIONS)}, true) OR size > 12 * 1024 * 1024)"""
+_MESSAGE = "CASE WHEN role = 'system' THEN nullif(text, '') WHEN text <> '' THEN role || ': ' || text END"
+_PREVIEW = f"CASE WHEN length(text) > 160 THEN regexp_replace(substr(text, 1, 160), '{_WS}+$', '') || '...' ELSE text END"
 _DOC_FILES = "(SELECT path, text, size FROM now)"
 ORACLE_SQL: dict[str, str] = {
     "vector_topk": f"SELECT qid, rank::INT AS rank, path, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path) AS rank FROM {_SCORED} WHERE score >= {MIN_SCORE}) WHERE rank <= {K}",
@@ -141,9 +146,21 @@ ORACLE_SQL: dict[str, str] = {
     "chunk_documents": f"WITH {chunks(_FILES, 'path, doc_id')} SELECT doc_id, chunk, text, start_line, end_line, byte_offset, byte_end_offset FROM chunks",
     "chunk_redacted": f"WITH {chunks(_FILES, 'path, doc_id', 600, 80, True)} SELECT doc_id, chunk, text, start_line, byte_offset FROM chunks",
     "chunk_metadata": f"WITH {chunks(_FILES, 'path')}, l AS (SELECT path, chunk, text, {_LANGUAGE} AS language, {_TYPE} AS chunk_type FROM chunks) SELECT path, chunk, language, chunk_type, {_symbol()} AS symbol FROM l",
-    "chunk_preview": f"SELECT doc_id, CASE WHEN length(text) > 160 THEN regexp_replace(substr(text, 1, 160), '{_WS}+$', '') || '...' ELSE text END AS preview FROM documents",
-    "file_skip_filter": f"""SELECT doc_id, path, {_EXT} AS extension, {_reason()} IS NOT NULL OR {_NAME} IN {_in(paths.NOISY_NAMES)} OR list_has_any(string_split(lower(path), '/'), {_list(paths.SKIPPED_FOLDERS)})
-  OR coalesce({_EXT} NOT IN {_in(paths.EXTENSIONS)}, true) OR size > 12 * 1024 * 1024 AS skipped FROM {_NAMED}""",
+    "chunk_preview": f"SELECT doc_id, {_PREVIEW} AS preview FROM documents",
+    "file_skip_filter": f"SELECT doc_id, path, {_EXT} AS extension, {_SKIPPED} AS skipped FROM {_NAMED}",
+    "file_scan": f"SELECT path, size, {_SKIPPED} AS skipped FROM {_TREE}",
+    "file_texts": f"SELECT path, size, sha256(text) AS sha256, CASE WHEN {_EXT} = '.jsonl' THEN 0 ELSE length(text) END::INT AS chars FROM {_TREE} WHERE NOT {_SKIPPED}",
+    "embed_provider": "SELECT item_id, 64 AS dimension, CASE WHEN trim(text) = '' THEN 0 ELSE 1 END::DOUBLE AS length FROM benchmark",
+    "index_roundtrip": f"WITH {chunks(_FILES, 'path', redact=True)} SELECT path, count(*) AS chunks, count(*) AS n, 64 AS dimension FROM chunks GROUP BY path",
+    "incremental_build": f"""WITH {_STATE}, {chunks(_DOC_FILES, 'path', redact=True)}, n AS (SELECT path, count(*) AS n FROM chunks GROUP BY path),
+f AS (SELECT reused AND n IS NOT NULL AS kept, coalesce(n, 0) AS n FROM parted LEFT JOIN n USING (path))
+SELECT count(*) FILTER (WHERE kept) AS files_reused, count(*) FILTER (WHERE NOT kept) AS files_embedded, coalesce(sum(n) FILTER (WHERE kept), 0)::BIGINT AS chunks_reused,
+  coalesce(sum(n) FILTER (WHERE NOT kept), 0)::BIGINT AS chunks_to_embed, sum(n)::BIGINT AS chunks, sum(n)::BIGINT AS vectors, 64::BIGINT AS dimension FROM f""",
+    "session_logs": f"SELECT conv_id, coalesce(string_agg({_MESSAGE}, chr(10) || chr(10) ORDER BY turn), '') AS text FROM conversations GROUP BY conv_id",
+    "chunk_file_cap": f"WITH {chunks(_FILES, 'path, doc_id', 600, 80)} SELECT doc_id, chunk FROM chunks WHERE chunk < 3",
+    "search_results": f"""SELECT qid, rank::INT AS rank, round(score, 4) AS score, path, 0 AS chunk, {_PREVIEW} AS text, lang AS language FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path) AS rank FROM {_SCORED} WHERE score >= {MIN_SCORE})
+  JOIN (SELECT 'v/' || lpad(doc_id::VARCHAR, 9, '0') AS path, text, lang FROM documents) USING (path) WHERE rank <= {K}""",
     "sensitive_reason": f"SELECT doc_id, path, {_reason()} AS reason FROM {_NAMED}",
     "file_priority": f"SELECT doc_id, path, size, ({_BUCKET})::INT AS bucket, {_P} AS path_key FROM {_NAMED}",
     "secret_redact": f"SELECT doc_id, {_hide('known')} AS text FROM (SELECT doc_id, {_redact('text')} AS known FROM documents)",
@@ -166,7 +183,7 @@ SELECT count(*) FILTER (WHERE reused) AS files_reused, count(*) FILTER (WHERE NO
   coalesce(sum(n) FILTER (WHERE NOT reused), 0)::BIGINT AS chunks_to_embed FROM parted LEFT JOIN n USING (path)""",
     "chunk_cap": f"""WITH {_STATE}, {chunks(_DOC_FILES, 'path, size')}, n AS (SELECT path, size, count(*) AS n FROM chunks GROUP BY path, size)
 SELECT path, size, n, greatest(0, least(n, 500 - coalesce(sum(n) OVER (ORDER BY {_BUCKET}, size, {_P}, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS taken FROM n""",
-    "session_messages": "SELECT conv_id, turn, CASE WHEN role = 'system' THEN nullif(text, '') WHEN text <> '' THEN role || ': ' || text END AS message FROM conversations",
+    "session_messages": f"SELECT conv_id, turn, {_MESSAGE} AS message FROM conversations",
     "l2_normalize": "SELECT vec_id, round(list_inner_product(u, u), 6) AS length, round(u[1], 6) AS first FROM (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 3) AS v FROM embeddings))",
     "last_token_pool": "SELECT vec_id, round(embedding[(greatest(least(label, 8), 1) - 1) * 8 + 1]::DOUBLE, 6) AS pooled FROM embeddings",
     "query_prefix": f"SELECT item_id, {_q(vectors.QUERY_PREFIX)} || text AS query FROM benchmark",

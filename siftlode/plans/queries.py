@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+import uuid
+from collections.abc import Callable, Iterator
+from urllib.parse import urlparse
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -193,15 +197,19 @@ def chunk_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.cap_total(counts, 500)
 
 
-def session_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as log lines, and the messages read back from them."""
+def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as log lines (conv_id, turn, line)."""
     c = _table(spark, sf_dir, "conversations")
     kind = F.when(F.col("role") == "user", "input_text").otherwise("output_text")
     content = F.array(F.struct(kind.alias("type"), F.col("text").alias("text")))
     said = F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("message").alias("type"), "role", content.alias("content")).alias("payload"))
     event = F.struct(F.lit("event_msg").alias("type"), F.struct(F.col("text").alias("message")).alias("payload"))
-    line = F.when(F.col("role") == "system", F.to_json(event)).otherwise(F.to_json(said))
-    return c.select("conv_id", "turn", sessions.message(line).alias("message"))
+    return c.select("conv_id", "turn", F.when(F.col("role") == "system", F.to_json(event)).otherwise(F.to_json(said)).alias("line"))
+
+
+def session_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages read back from log lines."""
+    return _log_lines(spark, sf_dir).select("conv_id", "turn", sessions.message(F.col("line")).alias("message"))
 
 
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,13 +229,85 @@ def query_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "benchmark").select("item_id", vectors.query_text(F.col("text")).alias("query"))
 
 
+def _write_files(files: DataFrame, folder: str) -> None:
+    """Writes (path, text) as files below a folder that all executors see."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, body in zip(pdf["path"], pdf["text"], strict=True):
+                target = os.path.join(folder, path)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                part = f"{target}.{uuid.uuid4().hex}"
+                with open(part, "wb") as f:
+                    f.write((body or "").encode())
+                os.replace(part, target)  # a task that runs again replaces the file by an equal one
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    scratch.written(files.select("path", "text").mapInPandas(write, "n long"), "written")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return urlparse(scratch.folder(spark, name)).path
+
+
+def _below(folder: str) -> Column:
+    return F.substr("path", F.lit(len(os.path.realpath(folder)) + 2))
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> str:
+    """Documents as files with telling names, each in a folder of its own."""
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("/"), _pick(NAMES, F.col("doc_id")))
+    folder = _folder(spark, "files")
+    _write_files(_table(spark, sf_dir, "documents").select(path.alias("path"), "text"), folder)
+    return folder
+
+
 def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = file_source.scan(spark, [sf_dir], limit_mb=0)
-    return f.select(text.file_name(F.col("path")).alias("name"), "size", paths.skipped(F.col("path"), F.col("size")).alias("skipped"))
+    """Every file that a scan without pruning finds, and whether it is skipped."""
+    folder = _tree(spark, sf_dir)
+    f = file_source.scan(spark, [folder, f"{folder}/."], prune=False)
+    return f.select(_below(folder).alias("path"), "size", paths.skipped(F.col("path"), F.col("size")).alias("skipped"))
+
+
+def file_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of the files that a pruned scan keeps."""
+    folder = _tree(spark, sf_dir)
+    f = file_source.texts(file_source.scan(spark, [folder]))
+    return f.select(_below(folder).alias("path"), "size", "sha256", F.length("text").alias("chars"))
+
+
+def incremental_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of an earlier state indexed, then those of now over them: the second report."""
+    now, was = _snapshots(spark, sf_dir)
+    folder, index, provider = _folder(spark, "snapshot"), scratch.folder(spark, "index"), embedding.Lazy(embedding.HashingProvider)
+    for state in (was, now):
+        _write_files(state, folder)
+        report = incremental.build(spark, [folder], index, lambda d: embedding.embed(d, provider), max_chunks_per_file=0)
+    row = [report[k] for k in ("files_reused", "files_embedded", "chunks_reused", "chunks_to_embed", "chunks")] + report["vectors_shape"]
+    return spark.createDataFrame([tuple(row)], "files_reused long, files_embedded long, chunks_reused long, chunks_to_embed long, chunks long, vectors long, dimension long")
+
+
+def session_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as one log with blank, invalid and foreign lines, and its messages."""
+    lines = _log_lines(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("rows"))
+    log = F.array_join(F.transform("rows", lambda r: F.concat(r["line"], F.lit('\n\n{"cut\n[1, 2]'))), "\n")
+    return lines.select("conv_id", sessions.messages(log).alias("text"))
+
+
+def chunk_file_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.cap_per_file(chunking.chunk(_files(spark, sf_dir), 600, 80, redact=False), 3).select("doc_id", "chunk")
+
+
+def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result rows: vectors stand for the documents of their ids."""
+    path = F.format_string("v/%09d", "doc_id").alias("path")
+    docs = _table(spark, sf_dir, "documents").select(path, "text", F.col("lang").alias("language"))
+    best = search.top_k(_scored(spark, sf_dir), K, MIN_SCORE)
+    return search.present(best.join(docs, "path"), 160)
 
 
 def embed_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = embedding.embed(_table(spark, sf_dir, "benchmark"), embedding.HashingProvider())
+    b = embedding.embed(_table(spark, sf_dir, "benchmark"), embedding.Lazy(embedding.HashingProvider))
     return b.select("item_id", F.size("embedding").alias("dimension"), F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 4).alias("length"))
 
 
@@ -249,6 +329,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         sensitive_reason, file_priority, secret_redact, secret_findings, secret_scan_summary, secret_entropy, exact_line_search,
         exact_hit_counts, exact_caps, hybrid_merge, retrieval_metrics, quality_summary, latency_percentiles_index,
         latency_percentiles_nearest, incremental_reuse, incremental_stats, chunk_cap, session_messages, l2_normalize, last_token_pool,
-        query_prefix, file_scan, embed_provider, index_roundtrip,
+        query_prefix, file_scan, file_texts, embed_provider, index_roundtrip, incremental_build, session_logs, chunk_file_cap, search_results,
     )
 }

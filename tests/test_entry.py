@@ -35,9 +35,8 @@ def test_query_equals_its_oracle(spark, duck, name):
     assert plain(queries.QUERIES[name](spark, SF).toPandas()) == plain(duck.execute(oracles.ORACLE_SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(oracles.ORACLE_SQL)))
-def test_query_without_oracle_gives_rows(spark, name):
-    assert queries.QUERIES[name](spark, SF).count() > 0
+def test_every_query_has_an_oracle():
+    assert set(queries.QUERIES) == set(oracles.ORACLE_SQL)
 
 
 def test_entry(spark):
