@@ -39,17 +39,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def urls_sql() -> str:
-    rows = ", ".join(f"('{e}', '{v}', {str((e, v) in urlfilter.RULES).lower()})" for e, v in (*urlfilter.RULES, *urlfilter.BLOCKED))
+    rows = ", ".join(f"('{e}', '{v}', true)" for e, v in urlfilter.RULES)
+    cut = "split_part(entry, '/', 1) AS h, CASE WHEN contains(entry, '/') THEN substr(entry, strpos(entry, '/')) ELSE '' END AS p"
     return rf"""
-WITH list AS (SELECT entry, v, own, split_part(entry, '/', 1) AS h, substr(entry, strpos(entry, '/')) AS p FROM (VALUES {rows}) AS t(entry, v, own)),
-rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-cut AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM rest),
-u AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+WITH rest AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+cut AS (SELECT page_id, url, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM rest),
+u AS (SELECT page_id, url, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
       regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM cut),
-fit AS (SELECT page_id, arg_max(entry, length(entry)) AS entry FROM u JOIN list
+tracked AS (SELECT DISTINCT host || path AS entry FROM u WHERE contains(url, '://') AND regexp_matches(url, '{urlfilter.TRACKING}') AND host || path <> ''),
+list AS (SELECT entry, v, own, {cut} FROM (SELECT * FROM (VALUES {rows}) AS t(entry, v, own) UNION ALL SELECT entry, 'block', false FROM tracked)),
+fit AS (SELECT page_id, arg_max({{'entry': entry, 'v': v, 'own': own}}, [own::INT, length(entry), length(h)]) AS e FROM u JOIN list
         ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
-SELECT page_id, host, path, CASE WHEN own THEN entry END AS rule, coalesce(v, 'allow') AS verdict, CASE WHEN NOT own THEN entry END AS blocklist_entry
-FROM u LEFT JOIN fit USING (page_id) LEFT JOIN list USING (entry)"""
+SELECT page_id, host, path, CASE WHEN e.own THEN e.entry END AS rule, coalesce(e.v, 'allow') AS verdict, CASE WHEN NOT e.own THEN e.entry END AS blocklist_entry
+FROM u LEFT JOIN fit USING (page_id)"""
 
 
 def pii_sql() -> str:

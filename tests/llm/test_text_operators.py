@@ -151,43 +151,76 @@ URLS = [
 ]
 
 
+def plain_judge(url, entries):
+    """(host, path, entry, verdict) by going through all (entry, verdict, first)."""
+    _, found, rest = (url or "").partition("://")
+    host = re.match(r"[^/?#]*", rest)[0] if found else ""
+    path = re.match(r"[^?#]*", rest[len(host) :])[0] if found else ""
+    host = "".join(c.lower() if c.isascii() else c for c in host)
+    fits = []
+    for e, v, first in entries:
+        h, slash, p = e.partition("/")
+        if (host or path) and (host == h or host.endswith("." + h)) and path.startswith(slash + p):
+            fits.append((first, len(e), len(h), e, v))
+    best = max(fits, default=(None, 0, 0, None, "allow"))
+    return host, path, best[3], best[4]
+
+
 def test_url_rules(spark):
-    def plain(url):
-        _, found, rest = (url or "").partition("://")
-        host = re.match(r"[^/?#]*", rest)[0] if found else ""
-        path = re.match(r"[^?#]*", rest[len(host) :])[0] if found else ""
-        host = "".join(c.lower() if c.isascii() else c for c in host)
-        fits = [(r, v) for r, v in urlfilter.RULES + urlfilter.BLOCKED for h, _, p in [r.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
-        rule, verdict = max(fits, key=lambda x: len(x[0]), default=(None, "allow"))
-        return host, path, rule if (rule, verdict) in urlfilter.RULES else None, verdict
-
-    pages = spark.createDataFrame(list(enumerate(URLS)) + [(None, URLS[0]), (0, URLS[0])], "page_id long, url string")
-    rows = urlfilter.urls_query(pages).collect()
-    assert len(rows) == len(URLS) + 2
-    for r in rows:
-        assert (r.host, r.path, r.rule, r.verdict) == plain(URLS[r.page_id or 0])
+    tracked = ["http://foo.org/a?utm_source=x", "http://foo.org/a/b", "https://www.foo.org/ab#utm_x", "http://bar.org/?a=1&utm_x=", "http://bar.org", "http://sub.bar.org/c#?utm_", "http://example.com/en/x?utm_a"]
+    urls = URLS + tracked
+    pages = spark.createDataFrame([*enumerate(urls), (None, urls[0]), (0, urls[0])], "page_id long, url string")
+    listed = {"foo.org/a", "bar.org/", "example.com/en/x"}
+    assert {r.entry for r in urlfilter.tracked(pages).collect()} == listed
+    entries = [(r, v, True) for r, v in urlfilter.RULES] + [(e, "block", False) for e in listed]
+    got = urlfilter.urls_query(pages).collect()
+    assert len(got) == len(urls) + 2 and sum(r.blocklist_entry is not None for r in got) == 4
+    for r in got:
+        host, path, entry, verdict = plain_judge(urls[r.page_id or 0], entries)
+        ruled = entry in dict(urlfilter.RULES)
+        assert (r.host, r.path, r.rule, r.verdict, r.blocklist_entry) == (host, path, entry if ruled else None, verdict, None if ruled else entry)
     assert urlfilter.urls_query(pages.where("false")).count() == 0
     none = spark.createDataFrame([], "entry string, verdict string")
-    judged = urlfilter.judge_urls(pages.withColumn("rule", F.lit(1)), none)
-    assert {r.verdict for r in judged.collect()} == {"allow"} and judged.count() == len(URLS) + 2
-
-
-def test_many_shards_and_equal_digests(spark, monkeypatch):
-    entries = [(f"h{i}.example/", "block" if i % 2 else "allow") for i in range(300)] + [("h1.example/", "allow")]
-    folder, shards, lengths = urlfilter.build(spark.createDataFrame(entries, "entry string, verdict string"), shard_entries=10)
-    assert shards == 30 and lengths == [1]
-    monkeypatch.setattr(urlfilter, "SHARD_ENTRIES", 10)
-    pages = spark.createDataFrame([(i, f"http://a.h{i}.example/x") for i in range(310)], "page_id long, url string")
-    got = {r.page_id: r.verdict for r in urlfilter.judge_urls(pages, spark.createDataFrame(entries, "entry string, verdict string")).collect()}
-    assert got == {i: "block" if i % 2 and i < 300 else "allow" for i in range(310)}
-    monkeypatch.setattr(urlfilter, "digest", lambda e: 7)  # all digests collide: strings tell entries apart
-    import tempfile
-
-    with tempfile.NamedTemporaryFile(suffix=".digests") as f:
-        f.write(urlfilter.DigestArray.pack([("a/", True), ("b/", False), ("c/", True)]))
-        f.flush()
-        found = urlfilter.DigestArray(f.name).find(np.full(4, 7, "<u8"), [b"a/", b"b/", b"c/", b"d/"])
-    assert found.tolist() == [1, 0, 1, -1]
+    judged = urlfilter.judge_urls(pages.select("*", F.lit(1).alias("rule"), F.lit("x").alias("_of"), F.lit("y").alias("entry")), none)
+    assert {(r.verdict, r.rule, r._of, r.entry) for r in judged.collect()} == {("allow", None, "x", "y")} and judged.count() == len(urls) + 2
+
+
+@pytest.mark.parametrize("shard_entries", [1_000_000, 10])
+def test_lists_of_one_and_many_shards(spark, monkeypatch, shard_entries):
+    import random
+
+    rng = random.Random(2)
+    hosts = [f"{a}.h{i}.example" for i in range(30) for a in ("a", "b.a")] + [f"h{i}.example" for i in range(30)]
+    url_paths = ["", "/", "/x", "/x/y", "/x/yz/1", "/é/漢"]
+    entries = [(rng.choice(hosts) + rng.choice(url_paths), rng.choice(["block", "allow"]), rng.random() < 0.2) for _ in range(300)]
+    entries = list({e: (e, v, f) for e, v, f in entries}.values()) + [("example/", "allow", False)]
+    monkeypatch.setattr(urlfilter, "SHARD_ENTRIES", shard_entries)
+    urls = ["http://" + rng.choice(["", "www.", "WWW."]) + rng.choice(hosts) + rng.choice(url_paths) + rng.choice(["", "?q", "#/x"]) for _ in range(400)] + URLS
+    pages = spark.createDataFrame([(i, u, "kept") for i, u in enumerate(urls)], "page_id long, url string, _hits string").repartition(3)
+    got = {r.page_id: r for r in urlfilter.judge_urls(pages, spark.createDataFrame(entries, "entry string, verdict string, first boolean")).collect()}
+    assert len(got) == len(urls) and {r._hits for r in got.values()} == {"kept"}
+    for i, u in enumerate(urls):
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == plain_judge(u, entries), u
+
+
+def test_equal_digests_are_told_apart_by_strings(monkeypatch, tmp_path):
+    monkeypatch.setattr(urlfilter, "digest", lambda e: 7)
+    (tmp_path / "f").write_bytes(urlfilter.DigestArray.pack([(b"a/", 1), (b"b/", 0), (b"c/", 3)]))
+    found = urlfilter.DigestArray(str(tmp_path / "f")).find(np.full(4, 7, "<u8"), [b"a/", b"b/", b"c/", b"d/"])
+    assert found.tolist() == [1, 0, 3, -1]
+
+
+def test_digests_are_those_of_spark(spark):
+    names = ["a/", "net/es/", "é漢😀/x", "x" * 100]
+    d = spark.createDataFrame([(n,) for n in names], "n string").select("n", F.xxhash64("n").alias("h"))
+    assert all(urlfilter.digest(r.n.encode()) == r.h & (1 << 64) - 1 for r in d.collect())
+
+
+def test_a_million_entries_over_shards(spark):
+    entries = spark.range(1_200_000).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".example/")).alias("entry"), F.when(F.col("id") % 2 == 0, "block").otherwise("allow").alias("verdict"))
+    pages = spark.createDataFrame([(i, f"http://www.h{i}.example/x") for i in range(1_199_000, 1_201_000, 7)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge_urls(pages, entries).collect()}
+    assert got == {i: (f"h{i}.example/", "block" if i % 2 == 0 else "allow") if i < 1_200_000 else (None, "allow") for i in range(1_199_000, 1_201_000, 7)}
 
 
 TEXTS = [
