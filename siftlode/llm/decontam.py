@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.llm.common import Carried, let
+from siftlode.llm.common import Carried, let, materialise
 
 WINDOW = 8
 MIN_LITERAL = 4
@@ -30,8 +30,9 @@ COVERAGE = 0.4
 RUN = 13
 #: Forms of a benchmark window: template, case-blind template, exact tokens.
 TEMPLATE, BLIND, EXACT = 0, 1, 2
-#: Benchmark windows up to this number (16 bytes each) may be broadcast; more are joined by a shuffle.
-BROADCAST_WINDOWS = 1_000_000
+#: Benchmark windows of up to so many bytes are broadcast with their tokens.  Of more, hashes are joined first, broadcast
+#: up to so many, and tokens are cut for what hits.
+BROADCAST_BYTES, BROADCAST_HASHES = 32 << 20, 1_000_000
 #: A token: a word with the end of a sentence shortly before it, a word, or a number.
 TOKEN = r"[.!?\n][^\p{L}0-9]{0,8}\p{L}+|\p{L}+|[0-9]+(?:[.,][0-9]+)*"
 #: Units of measure; fixed values.
@@ -147,25 +148,41 @@ def _key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
+def _found(own: DataFrame, cut: DataFrame, index: DataFrame) -> DataFrame:
+    """(_key, doc_id, raw, at, hash, length, plain) of the windows that the benchmark has.
+
+    Only hashes and positions are joined with its hashes; texts are cut again for the documents that have a hit.
+    """
+    hashes = index.select("hash", "length").distinct()
+    hashes = F.broadcast(hashes) if hashes.count() <= BROADCAST_HASHES else hashes
+    bare = cut.select("_key", F.explode_outer("wins").alias("win")).select("_key", "win.*")
+    hits = materialise(bare.join(hashes, ["hash", "length"]).distinct(), "window-hits")
+    texts = own.join(hits.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"])
+    return hits.join(texts, "_key")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, window: int = WINDOW, run: int = RUN) -> DataFrame:
     """One row for each contaminated document and item: _key, doc_id, item_id, matched, windows, coverage, changed.
 
     ``changed`` tells whether a placeholder of the item has another value in the document.  The figures are those of template
     windows where they reach ``coverage``, else of case-blind and template ones where they do, else of all places.
     """
-    index = benchmark_windows(benchmark, window)
-    index = index.sparkSession.createDataFrame(index.toArrow()) if index.count() <= BROADCAST_WINDOWS else index
-    lengths = sorted(r[0] for r in index.select("length").distinct().collect())  # at most ``window`` numbers
-    if not lengths:
-        lengths = [window]
+    index = materialise(benchmark_windows(benchmark, window), "benchmark-windows")
+    letters = F.octet_length(F.array_join("w", "")) + F.octet_length(F.array_join("values", ""))
+    room = index.agg(F.sum(letters + 32 * F.size("w") + 100)).first()[0] or 0
+    lengths = sorted(r[0] for r in index.select("length").distinct().collect()) or [window]  # at most ``window`` numbers
     own = docs.select(_key(F.col("doc_id"), F.col("text")).alias("_key"), "doc_id", tokens(F.col("text")).alias("raw"))
-    own = own.withColumn("wins", let(_forms(F.col("raw")), lambda f: F.concat(*[_windows(f, n, MIN_LITERAL) for n in lengths])))
-    each = own.select("_key", "doc_id", "raw", F.explode_outer("wins").alias("win")).select("_key", "doc_id", "raw", "win.at", "win.hash", "win.length", "win.plain")
+    cut = own.withColumn("wins", let(_forms(F.col("raw")), lambda f: F.concat(*[_windows(f, n, MIN_LITERAL) for n in lengths])))
     side = index.select("item_id", "b_at", "kind", "hash", "n", "n_blind", "n_all", "w", "values", F.col("length").alias("b_length"))
-    side = F.broadcast(side) if index.count() <= BROADCAST_WINDOWS else side
-    hit = each.join(side, "hash").where((F.col("length") == F.col("b_length")) & (F.col("plain") | (F.col("kind") != TEMPLATE)))
+    slice_ = F.slice("raw", F.col("at"), F.col("length"))
+    if room <= BROADCAST_BYTES:
+        each = cut.select("_key", "doc_id", "raw", F.explode_outer("wins").alias("win")).select("_key", "doc_id", "raw", "win.*")
+        met = each.join(F.broadcast(side), "hash").withColumn("d", slice_)
+    else:
+        met = _found(own, cut, index).withColumn("d", slice_).drop("raw").join(side, "hash")
+    hit = met.where((F.col("length") == F.col("b_length")) & (F.col("plain") | (F.col("kind") != TEMPLATE)))
     pairs = F.filter(
-        F.zip_with(F.arrays_zip("w", "values"), F.slice("raw", F.col("at"), F.col("length")), lambda b, d: F.struct(b["w"].alias("w"), b["values"].alias("b"), _bare(d).alias("d"))),
+        F.zip_with(F.arrays_zip("w", "values"), F.col("d"), lambda b, d: F.struct(b["w"].alias("w"), b["values"].alias("b"), _bare(d).alias("d"))),
         lambda p: p["w"].startswith("<"),
     )
     sizes = ["n", "n_blind", "n_all"]

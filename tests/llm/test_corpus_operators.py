@@ -278,8 +278,17 @@ def test_short_items_and_shuffled_windows(spark, monkeypatch, odd_docs):
     b = spark.createDataFrame([(13, "short item here")], "item_id long, text string")
     d = spark.createDataFrame([(1, "a short item, here we are"), (2, "short here item")], "doc_id long, text string")
     assert [r.doc_id for r in decontam.leaks_query(d, b).collect()] == [1]
-    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
-    assert [r.doc_id for r in decontam.leaks_query(d, b).collect()] == [1]
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", -1)
+    for hashes in (1_000_000, 0):  # hashes alone broadcast, then shuffled too
+        monkeypatch.setattr(decontam, "BROADCAST_HASHES", hashes)
+        assert [r.doc_id for r in decontam.leaks_query(d, b).collect()] == [1]
+        sf = "/root/testdata/sf0.001"
+        docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+        docs = docs.union(docs.limit(20))  # equal rows are one document
+        got = sorted(map(tuple, decontam.leaks_query(docs, items).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(decontam, "BROADCAST_BYTES", 1 << 30)
+            assert got == sorted(map(tuple, decontam.leaks_query(docs, items).collect())) and got
     assert decontam.decontaminate(odd_docs, b).count() == odd_docs.count()
 
 

@@ -174,7 +174,7 @@ def test_url_rules(spark):
     assert {r.entry for r in urlfilter.tracked(pages).collect()} == listed
     entries = [(r, v, True) for r, v in urlfilter.RULES] + [(e, "block", False) for e in listed]
     got = urlfilter.urls_query(pages).collect()
-    assert len(got) == len(urls) + 2 and sum(r.blocklist_entry is not None for r in got) == 4
+    assert len(got) == len(urls) + 2 and sum(r.blocklist_entry is not None for r in got) == 5
     for r in got:
         host, path, entry, verdict = plain_judge(urls[r.page_id or 0], entries)
         ruled = entry in dict(urlfilter.RULES)
