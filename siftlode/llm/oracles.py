@@ -142,16 +142,30 @@ FROM ok GROUP BY doc_id, item_id, n HAVING count(*) >= {coverage} * n"""
 
 def mixing_ctes(documents: str = "documents") -> str:
     """CTEs that end with ``mixed``: every row of the table with topic, tokens, p and drawn."""
-    cases = " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{n}'" for n, p in mixing.TOPICS)
     own = "source_, lang_, topic"
-    out = f"""marked AS (SELECT *, coalesce(source, '{mixing.NONE}') AS source_, coalesce(lang, '{mixing.NONE}') AS lang_,
-  CASE {cases} ELSE 'prose' END AS topic, len(regexp_extract_all(coalesce(text, ''), {_WORD}))::BIGINT AS tokens FROM {documents}),
+    low, high = mixing.ANCHOR_SHARE
+    out = f"""sample AS MATERIALIZED (SELECT list_distinct(regexp_extract_all(coalesce(text, ''), {_WORD})) AS ws FROM (
+  SELECT doc_id, min(text) AS text FROM {documents} WHERE doc_id IS NOT NULL GROUP BY doc_id) ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT {mixing.ANCHOR_DOCS}),
+size AS (SELECT count(*) AS n FROM sample),
+terms AS (SELECT w, count(*) AS c, any_value(n) AS n FROM (SELECT unnest(ws) AS w FROM sample), size WHERE length(w) >= {mixing.ANCHOR_LETTERS} GROUP BY w),
+anchors AS MATERIALIZED (SELECT coalesce(list(w), []) AS ws FROM (SELECT w FROM terms WHERE 100 * c >= {low} * n AND 100 * c <= {high} * n ORDER BY c DESC, w LIMIT {mixing.ANCHORS})),
+split AS (SELECT *, regexp_extract_all(coalesce(text, ''), {_WORD}) AS own_words FROM {documents}),
+found AS (SELECT split.* EXCLUDE (own_words), len(own_words)::BIGINT AS tokens, list_filter(own_words, lambda w: list_contains(ws, w)) AS hits FROM split, anchors),
+marked AS (SELECT * EXCLUDE (hits), coalesce(source, '{mixing.NONE}') AS source_, coalesce(lang, '{mixing.NONE}') AS lang_,
+  coalesce(list_min(list_transform(list_distinct(hits), lambda t: {{'n': -len(list_filter(hits, lambda w: w = t)), 't': t}})).t, '{mixing.OTHER}') AS topic FROM found),
 cells AS (SELECT {own}, sum(tokens)::BIGINT AS t FROM marked GROUP BY ALL),
 k0 AS (SELECT *, t / greatest(sum(t) OVER (), 1) AS w FROM cells)"""
     cols = {"source": "source_", "lang": "lang_", "topic": "topic"}
-    for name, power in mixing.TARGETS.items():
+    for name, aim in mixing.TARGETS.items():
+        if isinstance(aim, dict):
+            named = {k: v for k, v in aim.items() if k != mixing.REST}
+            listed = ", ".join(f"'{k}'" for k in named)
+            cases = " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in named.items())
+            wanted = f"CASE {cols[name]} {cases} ELSE {aim.get(mixing.REST, 0)}::DOUBLE * m / sum(m) FILTER (WHERE {cols[name]} NOT IN ({listed})) OVER () END"
+        else:
+            wanted = f"pow(m, {aim})"
         out += f""",
-a_{name} AS (SELECT {cols[name]}, a / sum(a) OVER () AS a FROM (SELECT {cols[name]}, CASE WHEN sum(w) > 0 THEN pow(sum(w), {power}) ELSE 0 END AS a FROM k0 GROUP BY 1))"""
+a_{name} AS (SELECT {cols[name]}, a / sum(a) OVER () AS a FROM (SELECT {cols[name]}, CASE WHEN m > 0 THEN {wanted} ELSE 0 END AS a FROM (SELECT {cols[name]}, sum(w) AS m FROM k0 GROUP BY 1)))"""
     last = "k0"
     for i in range(mixing.ROUNDS):
         for name in mixing.TARGETS:

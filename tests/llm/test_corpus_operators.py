@@ -321,6 +321,23 @@ def test_probabilities_are_calibrated(spark, fraction):
     assert all(r == pytest.approx(free[0][1], rel=1e-3) for _, r in free)
 
 
+def test_shares_of_the_rest(spark):
+    cells = [("a", l, "x", t) for l, t in (("en", 10), ("de", 30), ("fr", 20), ("it", 40))]
+    targets = {"lang": {"en": 0.5, "de": 0.3, mixing.REST: 0.2}}
+    w = {r._lang: r.w for r in mixing.rake(spark.createDataFrame(cells, "_source string, _lang string, _topic string, t long"), targets).collect()}
+    assert w == pytest.approx({"en": 0.5, "de": 0.3, "fr": 0.2 / 3, "it": 0.4 / 3})
+
+
+def test_topics_follow_from_the_words(spark):
+    texts = ["tree tree river", "tree stone stone", "stone river river", "road"] + ["common word here"] * 16 + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "other other")], "doc_id long, text string")
+    terms = mixing.anchors(docs)
+    assert terms == ["river", "stone", "tree", "road"]  # in 2 to 20 of 100 documents; by frequency, then alphabet
+    got = {(r.doc_id, r.topic) for r in docs.select("doc_id", mixing.topic(mixing.words(F.col("text")), terms).alias("topic")).collect()}
+    assert {(0, "tree"), (1, "stone"), (2, "river"), (3, "road"), (4, mixing.OTHER), (20, mixing.OTHER), (21, mixing.OTHER), (None, mixing.OTHER)} <= got
+    assert mixing.anchors(docs.where("false")) == []
+
+
 def test_mixing_on_odd_rows(spark, odd_docs, no_docs):
     m = mixing.mixed(odd_docs.withColumn("topic", F.lit("mine")))
     assert m.count() == odd_docs.count() and m.select("topic").distinct().where("topic = 'mine'").count() == 0
