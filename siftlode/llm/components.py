@@ -12,12 +12,13 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     """(node, root) for every node of ``edges`` (a, b: long); root is the smallest node of its component.
 
     Each step moves edges towards smaller nodes, so no node gathers more than its own neighbours' rows and the number
-    of steps grows with the logarithm of the longest path.  Every step is written to the shared folder.  Rows with a
-    null or equal ends are ignored; repeated rows count once; no edges give no rows.
+    of steps grows with the logarithm of the longest path; stars around smallest nodes need none.  Every step is written to
+    the shared folder.  Rows with a null or equal ends are ignored; repeated rows count once; no edges give no rows; other
+    columns, also of clashing names, are ignored.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, before = materialise(now, name), None
-    while True:
+    now = materialise(now, name)
+    while not _stars(now):
         both = now.union(now.select(F.col("v"), F.col("u")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -25,9 +26,12 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         joined = large.join(lowest, "u")
         small = joined.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
         now = materialise(small.where("u <> v").distinct(), name)
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
-            break
-        before = mark
     roots = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every greater end has one edge only and is no other edge's smaller end."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    per = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return per.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()

@@ -32,17 +32,25 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _raw(texts: pa.Array) -> tuple[np.ndarray, bytes]:
+    """Offsets and bytes of the texts, null as empty."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, "i8")[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, "i8")
+    return at - at[0], bytes(memoryview(data)[at[0] : at[-1]]) if data is not None else b""
+
+
 #: Bytes of a text: A-Z in lower case, every white-space character a space.
 _BYTES = bytes(32 if x in b" \t\n\x0b\x0c\r" else x + 32 if 65 <= x <= 90 else x for x in range(256))
 
 
 def plain(texts: pa.Array) -> pa.Array:
     """The texts (null: empty) with A-Z in lower case and spaces for other white space; one pass over their bytes."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    _, offsets, data = texts.buffers()
-    at = np.frombuffer(offsets, "i8")[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, "i8")
-    raw = bytes(memoryview(data)[at[0] : at[-1]]) if data is not None else b""
-    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(at - at[0]), pa.py_buffer(raw.translate(_BYTES)))
+    return _plain(*_raw(texts))
+
+
+def _plain(at: np.ndarray, raw: bytes) -> pa.Array:
+    return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(raw.translate(_BYTES)))
 
 
 #: A run of letters, then ASCII punctuation without the apostrophe: two pre-tokens that normalising cannot join.
@@ -88,8 +96,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # words are ordinary text; texts with special strings go elsewhere
         self.whole = None if special_as_text else Tokenizer.from_file(path)
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special and not special_as_text else None
+        special = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.encode() for t in special]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -122,25 +130,27 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by ``end``, in one array; number of ids of each text with its end."""
-        if self.special is None or not len(texts):
-            return self._by_words(texts, end)
-        marked = pc.fill_null(pc.match_substring_regex(texts, self.special.pattern), False)
-        if not pc.any(marked).as_py():
-            return self._by_words(texts, end)
-        apart = np.flatnonzero(marked.to_numpy(zero_copy_only=False))
-        ids, counts = self._by_words(pc.if_else(marked, "", texts), end)
-        encoded = [np.array([*e.ids, end], "<u2") for e in self.whole.encode_batch_fast(texts.take(pa.array(apart)).to_pylist(), add_special_tokens=False)]
+        at, raw = _raw(texts)
+        places = [m.start() for t in self.special if t in raw for m in re.finditer(re.escape(t), raw)]
+        if not places:
+            return self._by_words(_plain(at, raw), end)
+        # a match may join the end of one text to the start of the next; then the library finds none and nothing is lost
+        apart = np.unique(np.searchsorted(at, places, side="right") - 1)
+        marked = np.zeros(len(texts), bool)
+        marked[apart] = True
+        ids, counts = self._by_words(plain(pc.if_else(pa.array(marked), "", texts)), end)
+        encoded = [np.array([*e.ids, end], "<u2") for e in self.whole.encode_batch_fast([t or "" for t in texts.take(pa.array(apart)).to_pylist()], add_special_tokens=False)]
         stops = np.cumsum(counts)
-        pieces, at = [], 0
+        pieces, done = [], 0
         for k, own in zip(apart.tolist(), encoded, strict=True):
-            pieces += [ids[at : stops[k] - 1], own]  # in place of the lone end
-            at, counts[k] = stops[k], len(own)
-        return np.concatenate([*pieces, ids[at:]]), counts
+            pieces += [ids[done : stops[k] - 1], own]  # in place of the lone end
+            done, counts[k] = stops[k], len(own)
+        return np.concatenate([*pieces, ids[done:]]), counts
 
     def _by_words(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.words.index) > MAX_WORDS:
             self._clear()
-        split = pc.split_pattern(plain(texts), " ")
+        split = pc.split_pattern(texts, " ")
         coded = split.flatten().dictionary_encode()
         distinct, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.words.index
         places = list(map(index.get, distinct))

@@ -16,7 +16,9 @@ also enters the classes of the smaller sets that it may link with.  So two linke
 Steps: equal sets are one set from the start; cells with two or more sets keep their members; equal member lists are
 taken once; in each list an R-tree joins what its bounds cannot part, giving a spanning forest, never all pairs; the
 components of these forests are verified, again along a spanning forest.  Lists and components beyond a fixed size are
-cut into blocks and every two blocks are joined, so no task holds more than two blocks.
+first compared with one of their members, a row each and gathered nowhere: what links with it is one part already.  Only
+members that do not are compared with all others, block by block; where even these are many, every two blocks are
+joined.  So no task holds more than two blocks, and a large group of near copies takes time in proportion to its size.
 
 Defined results: null or empty text, or white space only: empty set, linked with nothing, its own component; fewer words than a
 shingle: the whole sequence is the one shingle; null ids are linked but never name a component that has another id;
@@ -366,7 +368,8 @@ def _members(docs: DataFrame, size: int, scheme: Scheme) -> DataFrame:
 
 
 def _forests(tasks: DataFrame, solve: Callable[[list, list], list[tuple[int, int]]]) -> DataFrame:
-    """Edges (a, b) of the forests that ``solve`` finds in the rows' ``members`` (sid, n, data)."""
+    """Edges (a, b) of the forests that ``solve`` finds in the rows' ``members`` (sid, n, data), each tree as a star around
+    its smallest sid, which leaves little to do for the components."""
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,23 +380,67 @@ def _forests(tasks: DataFrame, solve: Callable[[list, list], list[tuple[int, int
                 sid = members.field("sid").to_numpy(zero_copy_only=False)
                 if len(sid) < 2:
                     continue
+                order = np.argsort(sid, kind="stable")
+                place = np.empty(len(sid), "i8")
+                place[order] = np.arange(len(sid))
+                forest = Forest(len(sid))
                 for x, y in solve(members.field("n").to_numpy(zero_copy_only=False), members.field("data").to_pylist()):
-                    a.append(sid[x]), b.append(sid[y])
+                    forest.join(int(place[x]), int(place[y]))
+                for x in {x for e in forest.edges for x in e}:
+                    if (root := forest.root(x)) != x:
+                        a.append(sid[order[x]]), b.append(sid[order[root]])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=arrow)
 
     return tasks.select("members").mapInArrow(run, "a long, b long")
 
 
-def _in_blocks(rows: DataFrame, key: str, blocks: str) -> DataFrame:
+def _gathered(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.collect_list(F.struct("sid", "n", "data")).alias("members"))
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
     """Tasks of at most two blocks: rows (key, sid, n, data, blocks) gathered by key and pair of blocks."""
-    own = F.pmod(F.xxhash64("sid"), F.col(blocks))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+    own = F.pmod(F.xxhash64("sid"), F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     dealt = rows.withColumn("_own", own).withColumn("_other", other)
-    return (
-        dealt.withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")})
-        .groupBy(key, "_i", "_j")
-        .agg(F.collect_list(F.struct("sid", "n", "data")).alias("members"))
-    )
+    return _gathered(dealt.withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")}), "key", "_i", "_j")
+
+
+def _with_seeds(rows: DataFrame, pair: Callable[[int, bytes, int, bytes], bool], name: str) -> DataFrame:
+    """(key, sid, seed, linked) of rows (key, sid, n, data): whether each member links with the one of the smallest sid."""
+    seeds = rows.groupBy("key").agg(F.min_by(F.struct("sid", "n", "data"), "sid").alias("s"))
+    seeds = materialise(seeds.select("key", F.col("s.sid").alias("seed"), F.col("s.n").alias("seed_n"), F.col("s.data").alias("seed_data")), f"{name}-seeds")
+    arrow = pa.schema([("key", pa.int64()), ("sid", pa.int64()), ("seed", pa.int64()), ("linked", pa.bool_())])
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch[c].to_pylist() for c in ("n", "data", "seed_n", "seed_data"))
+            linked = [pair(*x) for x in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["sid"], batch["seed"], pa.array(linked, pa.bool_())], schema=arrow)
+
+    both = rows.join(seeds, "key").select("key", "sid", "n", "data", "seed", "seed_n", "seed_data")
+    return materialise(both.mapInArrow(test, "key long, sid long, seed long, linked boolean"), f"{name}-tested")
+
+
+def _edges(keyed: DataFrame, load: Callable[[DataFrame], DataFrame], solve: Callable, pair: Callable, name: str) -> DataFrame:
+    """Edges (a, b) that connect what ``solve`` would connect among the members of each key.
+
+    ``load`` makes rows (key, sid, n, data, blocks) of some rows of ``keyed`` (with key, sid, blocks).
+    """
+    edges = _forests(_gathered(load(keyed.where("blocks = 1")), "key"), solve)
+    if keyed.where("blocks > 1").isEmpty():
+        return edges
+    large = materialise(load(keyed.where("blocks > 1")), f"{name}-large")
+    tested = _with_seeds(large, pair, name)
+    star = tested.where("linked and sid <> seed").select(F.col("sid").alias("a"), F.col("seed").alias("b"))
+    rest = tested.where("not linked").select("key", "sid")
+    rests = rest.groupBy("key").agg(F.count(F.lit(1)).alias("rest"))
+    few = large.join(rests.where(F.col("rest") <= LIST_MEMBERS).select("key"), "key")
+    own = few.join(rest, ["key", "sid"], "left_anti").withColumn("_b", F.pmod(F.xxhash64("sid"), F.col("blocks")))
+    copies = few.join(rest, ["key", "sid"], "left_semi").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    tasks = _gathered(own.unionByName(copies), "key", "_b").select("members")
+    many = large.join(rests.where(F.col("rest") > LIST_MEMBERS).select("key"), "key")
+    return edges.union(star).union(_forests(tasks.union(_in_blocks(many).select("members")), solve))
 
 
 def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -409,26 +456,29 @@ def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataF
 
     members = materialise(_members(docs, size, scheme), "members")
     free_shuffles(docs.sparkSession)
-    sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("count"))
-    sized = members.join(sizes, "cell")
-    lists = sized.where(F.col("count") <= LIST_MEMBERS).groupBy("cell").agg(F.sort_array(F.collect_list("sid")).alias("sids"))
+    # cells beyond the limit first, so that their members are not gathered with the others
+    sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") > LIST_MEMBERS)
+    beyond = materialise(sizes.select("cell", F.ceil(F.col("count") * 2 / LIST_MEMBERS).alias("blocks")), "large-cells")
+    lists = members.join(beyond, "cell", "left_anti").groupBy("cell").agg(F.sort_array(F.collect_list("sid")).alias("sids"))
     lists = lists.select("sids").distinct().select(F.xxhash64("sids").alias("key"), F.explode("sids").alias("sid"), F.lit(1).cast("long").alias("blocks"))
-    large = sized.where(F.col("count") > LIST_MEMBERS).select(F.col("cell").alias("key"), "sid", F.ceil(F.col("count") * 2 / LIST_MEMBERS).alias("blocks"))
+    keyed = materialise(lists.union(members.join(beyond, "cell").select(F.col("cell").alias("key"), "sid", "blocks")), "lists")
     vectors = real.join(members.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("counts").alias("data"))
-    loaded = lists.union(large).join(vectors, "sid")
 
     def by_bounds(n: np.ndarray, data: list[bytes]) -> list[tuple[int, int]]:
         return bound_forest(folded([np.frombuffer(x, "<u2") for x in data]), n, scheme)
 
-    near = connected_components(_forests(_in_blocks(loaded, "key", "blocks"), by_bounds), "near").select(F.col("node").alias("sid"), F.col("root").alias("key"))
+    def bound_pair(n: int, data: bytes, m: int, other: bytes) -> bool:
+        a, b = folded([np.frombuffer(data, "<u2"), np.frombuffer(other, "<u2")])
+        return bool(np.minimum(a, b).sum() >= scheme.need(n, m))
+
+    near = connected_components(_edges(keyed, lambda k: k.join(vectors.hint("merge"), "sid"), by_bounds, bound_pair, "near"), "near").select(F.col("node").alias("sid"), F.col("root").alias("key"))
     near = materialise(near, "near-sets")
     free_shuffles(docs.sparkSession)
 
     # the sets of what is left, from the texts themselves
     wanted = near.join(reps, "sid")
     weight = wanted.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
-    wanted = wanted.join(weight, "key").select("row", "sid", "key", "n", "blocks")
-    texts = _rows(docs).select("text", "row").join(wanted, "row").dropDuplicates(["sid"])
+    wanted = materialise(wanted.join(weight, "key").select("row", "sid", "key", "n", "blocks"), "wanted-sets")
     arrow = pa.schema([("sid", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("blocks", pa.int64()), ("data", pa.binary())])
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,12 +488,19 @@ def join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataF
                 data = pa.array([s.tobytes() for s in shingle_sets(part["text"], size)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*[part[c] for c in ("sid", "key", "n", "blocks")], data], schema=arrow)
 
-    sets = texts.select("text", "sid", "key", "n", "blocks").mapInArrow(load, "sid long, key long, n long, blocks long, data binary")
+    def sets(some: DataFrame) -> DataFrame:
+        # texts are shuffled at every size: what they are joined with grows with them
+        texts = _rows(docs).select("text", "row").join(some.hint("merge"), "row").dropDuplicates(["sid"])
+        return texts.select("text", "sid", "key", "n", "blocks").mapInArrow(load, "sid long, key long, n long, blocks long, data binary")
 
     def by_sets(n: np.ndarray, data: list[bytes]) -> list[tuple[int, int]]:
         return verified_forest([np.frombuffer(x, "u8") for x in data], scheme)
 
-    linked = connected_components(_forests(_in_blocks(sets, "key", "blocks"), by_sets), "linked").select(F.col("node").alias("sid"), "root")
+    def set_pair(n: int, data: bytes, m: int, other: bytes) -> bool:
+        common = len(np.intersect1d(np.frombuffer(data, "u8"), np.frombuffer(other, "u8"), assume_unique=True))
+        return bool(scheme.linked(common, n, m))
+
+    linked = connected_components(_edges(wanted, sets, by_sets, set_pair, "linked"), "linked").select(F.col("node").alias("sid"), "root")
     named = real.groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
     rooted = named.join(linked, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     parts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.min("best").alias("best"))

@@ -101,7 +101,7 @@ def test_join_equals_all_pairs(spark, monkeypatch, size, num):
     want = sorted(brute_components(rows, size, num), key=key)
     assert sorted((tuple(r) for r in jaccard_join.join(docs, size, num).select("doc_id", "n_shingles", "component_id").collect()), key=key) == want
     # the same in small blocks: lists and components over many tasks
-    monkeypatch.setattr(jaccard_join, "LIST_MEMBERS", 4)
+    monkeypatch.setattr(jaccard_join, "LIST_MEMBERS", 2)
     monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 60)
     monkeypatch.setattr(jaccard_join, "BLOCK_CELLS", 50)
     assert sorted((tuple(r) for r in jaccard_join.join(docs, size, num).select("doc_id", "n_shingles", "component_id").collect()), key=key) == want
