@@ -35,6 +35,8 @@ TEMPLATE, BLIND, EXACT = 0, 1, 2
 BROADCAST_BYTES, BROADCAST_HASHES = 32 << 20, 1_000_000
 #: A token: a word with the end of a sentence shortly before it, a word, or a number.
 TOKEN = r"[.!?\n][^\p{L}0-9]{0,8}\p{L}+|\p{L}+|[0-9]+(?:[.,][0-9]+)*"
+#: The same for Java, whose stack a long number with many points would overflow if repetitions could give back.
+LINEAR_TOKEN = r"[.!?\n][^\p{L}0-9]{0,8}\p{L}++|\p{L}++|[0-9]++(?:[.,][0-9]++)*+"
 #: Units of measure; fixed values.
 UNITS = (
     *("mm", "cm", "km", "mg", "kg", "lb", "lbs", "oz", "ml", "mph", "kmh", "inch", "inches", "foot", "feet", "yard", "yards"),
@@ -46,7 +48,7 @@ UNITS = (
 
 def tokens(text: Column) -> Column:
     """The raw tokens of a text; a sentence's first word has what ends the sentence before it as a prefix."""
-    return F.regexp_extract_all(F.concat(F.lit("\n"), F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(F.concat(F.lit("\n"), F.coalesce(text, F.lit(""))), F.lit(LINEAR_TOKEN), F.lit(0))
 
 
 def template(token: Column) -> Column:

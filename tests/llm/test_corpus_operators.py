@@ -258,6 +258,24 @@ def test_items_of_numbers_are_found_verbatim(spark):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (2, 2)}
 
 
+def test_very_long_numbers_are_one_token(spark):
+    docs = [(1, "1." * 200_000), (2, "1,22." * 100_000 + " one two three four"), (3, ".\n" * 200_000), (4, "q" * 400_000)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    n = {r.doc_id: r.n for r in d.select("doc_id", F.size(decontam.tokens(F.col("text"))).alias("n")).collect()}
+    assert n == {1: 1, 2: 5, 3: 0, 4: 1}
+    found = decontam.leaks_query(d, spark.createDataFrame([(9, docs[1][1])], "item_id long, text string"))
+    assert {r.doc_id for r in found.collect()} == {2}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_token_patterns_agree(spark, seed):
+    rng = random.Random(seed)
+    texts = ["".join(rng.choice(["1", "22", ".", ",", "a", "É", " ", "\n", "!", "b c", "-"]) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = F.regexp_extract_all(F.concat(F.lit("\n"), F.col("text")), F.lit(decontam.TOKEN), F.lit(0))
+    assert d.where(decontam.tokens(F.col("text")) != plain).isEmpty()
+
+
 def test_excerpts_of_long_items_are_found(spark):
     rng = random.Random(5)
     w = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(500)]
