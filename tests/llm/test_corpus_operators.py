@@ -8,11 +8,12 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftlode.llm import decontam, jaccard_join, katz, mixing, warc
+from siftlode.llm import decontam, jaccard_join, katz, mixing, oracles, warc
 from siftlode.llm.components import connected_components
 
 
@@ -356,6 +357,33 @@ def test_topics_follow_from_the_words(spark):
     assert mixing.anchors(docs.where("false")) == []
 
 
+@pytest.fixture(scope="module")
+def many_docs(spark):
+    """More documents than ``ANCHOR_DOCS``: one word stands in 2 of 100, but in none of the sample; ids that repeat, and null ids."""
+    n = mixing.ANCHOR_DOCS + 500
+    order = sorted(range(n), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    edge = set(order[-n // 50 :])
+    rows = [(i, ("edge " if i in edge else "") + "common words " * (1 + i % 7), "en" if i % 3 else "de", f"s{i % 2}") for i in range(n)]
+    rows += [(order[0], "zebra zebra", "en", "s0")] * 60  # its smallest text is another
+    rows += [(order[-1], "edge", "en", "s1")] * 600 + [(None, "edge zebra", "en", "s1")] * 60
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(7)
+
+
+def test_anchor_terms_are_counted_over_all_documents(spark, many_docs):
+    assert mixing.anchors(many_docs) == ["edge"]
+    assert mixing.anchors(many_docs.where("doc_id is not null").dropDuplicates(["doc_id"])) == ["edge"]
+    topics = {r.doc_id: r.topic for r in mixing.mixed(many_docs).where("text like 'edge%'").collect()}
+    assert len(topics) == 51 and set(topics.values()) == {"edge"}
+
+
+def test_the_mixing_query_counts_what_its_sql_counts(spark, many_docs):
+    duck, documents = duckdb.connect(), many_docs.toPandas().astype({"doc_id": "Int64"})
+    duck.register("documents", documents)
+    want = duck.execute(oracles.ORACLE_SQL["op4_mixing"]).fetchall()
+    got = [tuple(r) for r in mixing.mixing_query(many_docs).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and {r[3] for r in got} == {mixing.OTHER}
+
+
 def test_mixing_on_odd_rows(spark, odd_docs, no_docs):
     m = mixing.mixed(odd_docs.withColumn("topic", F.lit("mine")))
     assert m.count() == odd_docs.count() and m.select("topic").distinct().where("topic = 'mine'").count() == 0
