@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftlode.llm import jaccard_join, oracles
+from siftlode.llm import jaccard_join, mixing, oracles
 from siftlode.llm.common import materialise
 from tests.llm.conftest import SF
 from tests.llm.test_corpus_operators import brute_components
@@ -66,6 +68,23 @@ def test_stages_bear_odd_rows(spark, odd_docs, no_docs, k):
         assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in same.collect())
 
 
+def test_drawing_counts_all_documents(spark, monkeypatch):
+    n = mixing.ANCHOR_DOCS + 500
+    order = sorted(range(n), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    edge = set(order[-n // 25 :])  # 4 of 100 documents, none of them in a sample of ANCHOR_DOCS
+    rows = [(i, ("edge " if i in edge else "") + "common words " * (1 + i % 7), "en" if i % 3 else "de", f"s{i % 2}") for i in range(n)]
+    docs = spark.createDataFrame(rows + [(None, "edge", "en", "s1")], "doc_id long, text string, lang string, source string").repartition(5)
+    duck = duckdb.connect()
+    duck.register("docs", docs.toPandas().astype({"doc_id": "Int64"}))
+    drawn = lambda: {r[0] for r in duck.execute(f"WITH {oracles.mixing_ctes('docs')} SELECT doc_id FROM mixed WHERE drawn").fetchall()}
+    of_sample = drawn()
+    with monkeypatch.context() as m:
+        m.setattr(mixing, "ANCHOR_DOCS", 10 * n)  # the plain version over all documents
+        of_all = drawn()
+    assert of_all != of_sample
+    assert {r.doc_id for r in corpus_pipeline.keep_drawn(spark, docs, "").collect()} == of_all
+
+
 def test_equal_rows_leave_one_in_a_fixed_order(spark):
     rows = [(1, "one text of several words that stands here twice", x) for x in ("b", "a", "c")]
     left = [jaccard_join.deduplicate(spark.createDataFrame(r, "doc_id long, text string, x string").repartition(n)).collect() for r, n in ((rows, 1), (rows[::-1], 3))]
